@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablon.functions.identity import canonical_link
+from tablon.llm.canonical import listings_entries
 from tablon.llm.components import listing_groups
 from tablon.llm.lookalikes import lookalike_pairs
 from tablon.llm.nearest import nearest_in_time
@@ -14,6 +15,10 @@ from tablon.operators.instants import normal_instants
 from tablon.sources.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return listings_entries(table(spark, d, "anuncios"), table(spark, d, "distritos"), table(spark, d, "distritos_alias"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return listing_groups(table(spark, d, "anuncios"), table(spark, d, "pares_duplicados"), canonical_link)
 
@@ -59,6 +64,7 @@ SELECT a AS anuncio_id, least(a, min(b)) AS grupo_id FROM reach GROUP BY a
 """
 
 QUERIES = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
