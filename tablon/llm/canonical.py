@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablon.functions.text import strip_accents
 from tablon.llm.setjoin import grams, similarity_join
+from tablon.session import cut_lineage
 
 CANDIDATE = 0.25  # Jaccard similarity from which an entry is a candidate
 SURE = 0.45  # Jaccard similarity that is enough
@@ -23,7 +24,7 @@ ABBREVIATIONS = {
     "cmte": "comandante", "dr": "doctor", "ing": "ingeniero", "pblo": "pueblo", "pta": "punta",
     "hda": "hacienda", "snrio": "senorio", "vgen": "virgen", "cdad": "ciudad", "co": "cerro",
 }
-_GENERIC = r"^(?:distrito|dist|zona|sector)\b(?: de\b)? *(?=[a-z])"
+_GENERIC = r"^(?:(?:distrito|dist|zona|sector) de|dist|distrito) +(?=[a-z])"
 
 
 def plain_words(value: Column) -> Column:
@@ -103,12 +104,14 @@ def map_to_entries(values: DataFrame, entries: DataFrame, aliases: DataFrame) ->
     left = sounds.select(F.col("sound").alias("id"), grams(F.col("sound")).alias("tokens")).distinct()
     forms = entry_forms(entries, aliases)
     right = forms.select(F.col("form").alias("id"), grams(F.col("form")).alias("tokens"))
-    found = similarity_join(left, right, CANDIDATE)
+    found = cut_lineage(similarity_join(left, right, CANDIDATE))
     found = found.join(forms.withColumnRenamed("letters", "form_letters"), F.col("right_id") == F.col("form"))
     found = found.join(sounds, F.col("left_id") == F.col("sound"))
     kept = F.greatest(unedited_share(F.col("sound"), F.col("form")), unedited_share(F.col("letters"), F.col("form_letters")))
-    scored = found.select(F.col("letters").alias("__letters"), "distrito_id", "jaccard", kept.alias("kept"))
-    good = scored.where((F.col("jaccard") >= SURE) | (F.col("kept") >= CLOSE))
+    # Short forms are near to many words: they must begin alike.
+    alike = (F.length("form") > 6) | (F.substring("sound", 1, 1) == F.substring("form", 1, 1))
+    scored = found.select(F.col("letters").alias("__letters"), "distrito_id", "jaccard", kept.alias("kept"), alike.alias("alike"))
+    good = scored.where("alike").where((F.col("jaccard") >= SURE) | (F.col("kept") >= CLOSE))
     best = good.groupBy("__letters").agg(
         F.max(F.struct((F.col("jaccard") + F.col("kept")).alias("s"), (-F.col("distrito_id")).alias("d"))).alias("b")
     )

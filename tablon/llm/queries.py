@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablon.functions.identity import canonical_link
+from tablon.llm.addresses import same_address_pairs
 from tablon.llm.canonical import listings_entries
 from tablon.llm.components import listing_groups
 from tablon.llm.lookalikes import lookalike_pairs
@@ -38,6 +39,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("left_id").alias("anuncio_id"), F.col("right_id").alias("tc_id"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_address_pairs(table(spark, d, "anuncios"), table(spark, d, "distritos"), table(spark, d, "distritos_alias"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -67,6 +72,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p10_found": p10_found,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablon.session import cut_lineage
+
 SMALL_VOCABULARY = 100_000  # token counts are broadcast up to this many rows, which is checked
 
 
@@ -36,8 +38,9 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
     verified on its whole sets. The filters lose no pair; no common token brings rows together
     unless sets are made of common tokens only. Empty sets and null ids match nothing.
     """
-    a = left.where("id is not null").select("id", "tokens")
-    b = right.where("id is not null").select("id", "tokens")
+    # Both are read three times, so what makes them is done once.
+    a = cut_lineage(left.where("id is not null").select("id", "tokens"))
+    b = cut_lineage(right.where("id is not null").select("id", "tokens"))
     counts = (
         a.select(F.explode("tokens").alias("token")).unionAll(b.select(F.explode("tokens").alias("token")))
         .groupBy("token").agg(F.count("*").alias("n"))
