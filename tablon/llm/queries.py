@@ -10,8 +10,9 @@ from tablon.llm.addresses import same_address_pairs
 from tablon.llm.canonical import listings_entries
 from tablon.llm.components import listing_groups
 from tablon.llm.lookalikes import lookalike_pairs
+from tablon.llm.mixture import counted, mix_sources, tempered
 from tablon.llm.nearest import nearest_in_time
-from tablon.llm.tokens import encode_texts
+from tablon.llm.tokens import count_tokens, encode_texts
 from tablon.operators.instants import normal_instants
 from tablon.sources.tables import table
 
@@ -47,6 +48,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return counted(table(spark, d, "documents"), count_tokens)
+
+
+def p9_mezcla(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(_counted(spark, d), table(spark, d, "mezcla_fuentes"))[0]
+
+
+def p9_reporte(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(_counted(spark, d), table(spark, d, "mezcla_fuentes"))[1]
+
+
+def p9_temperatura(spark: SparkSession, d: str) -> DataFrame:
+    return tempered(_counted(spark, d), table(spark, d, "mezcla_fuentes"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "documents"))
 
@@ -74,6 +91,9 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p9_mezcla": p9_mezcla,
+    "p9_reporte": p9_reporte,
+    "p9_temperatura": p9_temperatura,
     "p10_found": p10_found,
 }
 ORACLES = {"p4_found": P4_SQL}
