@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def ordered_text(blocks: DataFrame, page: list[str], width: float = 50.0) -> DataFrame:
     """``page, texto``: texts of a page's text blocks (``x0, y0, tipo, texto``; tipo 0), by column of ``width``, then from the top."""
     order = F.struct(F.bround(F.col("x0") / width).alias("c"), "y0", "x0", "texto")
-    rows = blocks.where("tipo = 0").groupBy(*page).agg(F.array_sort(F.collect_list(order)).alias("b"))
-    return rows.select(*page, F.array_join(F.transform("b", lambda x: x["texto"]), "\n").alias("texto"))
+    rows = blocks.where("tipo = 0").groupBy(*page).agg(F.array_sort(F.collect_list(order)).alias("__b"))
+    return rows.select(*page, F.array_join(F.transform("__b", lambda x: x["texto"]), "\n").alias("texto"))
 
 
 def column_cuts(words: DataFrame, page: list[str], gap: float = 10.0, step: float = 1.0) -> DataFrame:
@@ -19,10 +19,10 @@ def column_cuts(words: DataFrame, page: list[str], gap: float = 10.0, step: floa
     them; the grid is never built."""
     ends = words.groupBy(*page).agg(F.min("x0").alias("__a"))
     cell = lambda c: F.floor((F.col(c) - F.col("__a")) / step)
-    spans = words.join(ends, page).select(*page, "__a", cell("x0").alias("i0"), cell("x1").alias("i1"))
-    before = Window.partitionBy(*page).orderBy("i0", "i1").rowsBetween(Window.unboundedPreceding, -1)
-    free = spans.withColumn("p", F.max("i1").over(before)).where((F.col("i0") - F.col("p") - 1) * step >= gap)
-    return free.select(*page, (F.col("__a") + (F.col("p") + 1 + F.col("i0")) / 2.0 * step).alias("corte"))
+    spans = words.join(ends, page).select(*page, "__a", cell("x0").alias("__i0"), cell("x1").alias("__i1"))
+    before = Window.partitionBy(*page).orderBy("__i0", "__i1").rowsBetween(Window.unboundedPreceding, -1)
+    free = spans.withColumn("__p", F.max("__i1").over(before)).where((F.col("__i0") - F.col("__p") - 1) * step >= gap)
+    return free.select(*page, (F.col("__a") + (F.col("__p") + 1 + F.col("__i0")) / 2.0 * step).alias("corte"))
 
 
 def text_rows(words: DataFrame, page: list[str], tolerance: float = 3.0) -> DataFrame:
@@ -31,7 +31,7 @@ def text_rows(words: DataFrame, page: list[str], tolerance: float = 3.0) -> Data
     in the JVM."""
     middle = ((F.col("y0") + F.col("y1")) / 2.0).cast("double")
     word = F.struct(middle.alias("c"), "x0", F.struct(*[c for c in words.columns if c not in page]).alias("w"))
-    pages = words.groupBy(*page).agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    pages = words.groupBy(*page).agg(F.array_sort(F.collect_list(word)).alias("__ws"))
     start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("m"), F.array().cast("array<int>").alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -40,22 +40,22 @@ def text_rows(words: DataFrame, page: list[str], tolerance: float = 3.0) -> Data
         m = F.when(new, x["c"]).otherwise((acc["m"] + x["c"]) / 2)
         return F.struct(row.alias("row"), m.alias("m"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-    rows = F.aggregate("ws", start, step, lambda acc: acc["rows"])
-    each = pages.select(*page, F.explode(F.arrays_zip(F.transform("ws", lambda x: x["w"]).alias("w"), rows.alias("fila"))).alias("z"))
-    return each.select(*page, "z.w.*", "z.fila").select(*words.columns, "fila")
+    rows = F.aggregate("__ws", start, step, lambda acc: acc["rows"])
+    each = pages.select(*page, F.explode(F.arrays_zip(F.transform("__ws", lambda x: x["w"]).alias("w"), rows.alias("fila"))).alias("__z"))
+    return each.select(*page, "__z.w.*", "__z.fila").select(*words.columns, "fila")
 
 
 def table_cells(words: DataFrame, cuts: DataFrame, page: list[str]) -> DataFrame:
     """``page, fila, celdas``: words (with ``fila``) of a row joined by cell, as many cells as the page has columns."""
-    edges = cuts.groupBy(*page).agg(F.array_sort(F.collect_list("corte")).alias("cortes"))
-    placed = words.join(edges, page, "left").withColumn("cortes", F.coalesce("cortes", F.array().cast("array<double>")))
-    column = F.size(F.filter("cortes", lambda c: (F.col("x0") + F.col("x1")) / 2 > c))
+    edges = cuts.groupBy(*page).agg(F.array_sort(F.collect_list("corte")).alias("__cuts"))
+    placed = words.join(edges, page, "left").withColumn("__cuts", F.coalesce("__cuts", F.array().cast("array<double>")))
+    column = F.size(F.filter("__cuts", lambda c: (F.col("x0") + F.col("x1")) / 2 > c))
     cells = (
-        placed.withColumn("col", column).where(F.trim("texto") != "").groupBy(*page, "fila", "cortes", "col")
+        placed.withColumn("__col", column).where(F.trim("texto") != "").groupBy(*page, "fila", "__cuts", "__col")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", F.trim("texto").alias("t")))), lambda x: x["t"]), " ").alias("celda"))
     )
-    rows = cells.groupBy(*page, "fila", "cortes").agg(F.map_from_entries(F.collect_list(F.struct("col", "celda"))).alias("m"))
-    every = F.transform(F.sequence(F.lit(0), F.size("cortes")), lambda i: F.coalesce(F.col("m")[i], F.lit("")))
+    rows = cells.groupBy(*page, "fila", "__cuts").agg(F.map_from_entries(F.collect_list(F.struct("__col", "celda"))).alias("__m"))
+    every = F.transform(F.sequence(F.lit(0), F.size("__cuts")), lambda i: F.coalesce(F.col("__m")[i], F.lit("")))
     return rows.select(*page, "fila", every.alias("celdas"))
 
 

@@ -286,19 +286,19 @@ def q_fx_asof(s, d):
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 3 <> 1 THEN o_totalprice END AS s, CASE WHEN o_orderkey % 3 <> 2 THEN floor(o_totalprice / 4) END AS u FROM orders),
-r AS (SELECT orderday AS fecha, 3.0 + (row_number() OVER (ORDER BY orderday) % 64) / 67.0 AS venta FROM (SELECT DISTINCT date_trunc('week', o_orderdate) AS orderday FROM orders))
+WITH o AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 3 <> 1 THEN floor(o_totalprice) END AS s, CASE WHEN o_orderkey % 3 <> 2 THEN floor(o_totalprice / 4) END AS u FROM orders),
+r AS (SELECT orderday AS fecha, 3.0 + (row_number() OVER (ORDER BY orderday) % 64) / 71.3 AS venta FROM (SELECT DISTINCT date_trunc('week', o_orderdate) AS orderday FROM orders))
 SELECT o_orderkey, s AS monto_s, u AS monto_u, r.venta AS tc, CASE WHEN s IS NULL AND u IS NOT NULL THEN round(u * r.venta, 2) END AS soles_estimado,
   CASE WHEN u IS NULL AND s IS NOT NULL THEN round(s / r.venta, 2) END AS dolares_estimado FROM o ASOF LEFT JOIN r ON o.o_orderdate >= r.fecha""")
 def q_fx_convert(s, d):
     orders = table(s, d, "orders")
     rows = orders.select(
-        "o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 3 != 1, F.col("o_totalprice")).alias("monto_s"),
+        "o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 3 != 1, F.floor(F.col("o_totalprice")).cast("double")).alias("monto_s"),
         F.when(F.col("o_orderkey") % 3 != 2, F.floor(F.col("o_totalprice") / 4).cast("double")).alias("monto_u"),
     )
     weeks = orders.select(F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("fecha")).distinct()
     n = F.row_number().over(Window.orderBy("fecha"))  # one row a week
-    rates = weeks.select("fecha", (F.lit(3.0) + (n % 64) / 67.0).alias("venta")).withColumn("compra", F.col("venta"))
+    rates = weeks.select("fecha", (F.lit(3.0) + (n % 64) / 71.3).alias("venta")).withColumn("compra", F.col("venta"))
     return fx.convert_amounts(rows, rates, "o_orderdate", "monto_s", "monto_u").select("o_orderkey", "monto_s", "monto_u", "tc", "soles_estimado", "dolares_estimado")
 
 
