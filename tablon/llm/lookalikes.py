@@ -53,7 +53,7 @@ def _class(codes: set[int]) -> str:
 def _tables() -> tuple[dict[str, str], dict[str, str], str, str]:
     """Code point -> its decomposition with look-alikes replaced, where that isn't itself; base and
     mark -> composed letter; and the regex classes of what attaches to a character before
-    it, and of what can't be passed over. From the Unicode data of this Python."""
+    it, and of usual characters that are in their form. From the Unicode data of this Python."""
     apart: dict[str, str] = {}
     together: dict[str, str] = {}
     attached: set[int] = set()
@@ -90,7 +90,10 @@ def _tables() -> tuple[dict[str, str], dict[str, str], str, str]:
             base, mark = how_text(how)
             if unicodedata.combining(mark):
                 together[base + mark] = c
-    return apart, together, _class(attached), _class(special | attached)
+    # A class of few ranges is quick; what it leaves out is exploded and found unchanged.
+    usual = {9, 10, *range(0x20, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2040), *range(0x3041, 0x3100), *range(0x4E00, 0xA000)}
+    usual |= {c for c in range(0x0410, 0x0450)}
+    return apart, together, _class(attached), _class({c for c in usual if c not in special and c not in attached})
 
 
 def how_text(decomposition: str) -> str:
@@ -140,12 +143,13 @@ def canonical_texts(texts: DataFrame) -> DataFrame:
     stay as they are.
     """
     spark = texts.sparkSession
-    _, _, attached, special = _tables()
-    joiners = rf"(?<=[{EMOJI}]\x{{FE0F}}?)\x{{200D}}(?=[{EMOJI}])"
+    _, _, attached, usual = _tables()
+    attached = rf"[\p{{M}}\p{{Cf}}&&[{attached}]]"  # the general classes are told apart first, and quickly
+    joiners = rf"\x{{200D}}(?<=[{EMOJI}]\x{{FE0F}}?\x{{200D}})(?=[{EMOJI}])"
     marked = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), joiners, JOINER)
-    pieces = F.regexp_extract_all(marked, F.lit(rf"(?s)[^{special}]+(?![{attached}])|.[{attached}]*"), F.lit(0))
+    pieces = F.regexp_extract_all(marked, F.lit(rf"(?s)[{usual}]+(?!{attached})|.{attached}*"), F.lit(0))
     cut = texts.select("key", F.posexplode(pieces).alias("pos", "piece"))
-    simple = ~F.col("piece").rlike(rf"[{special}]")
+    simple = F.col("piece").rlike(rf"^[{usual}]+$")
     chars = F.when(simple, F.array("piece")).otherwise(F.split("piece", ""))
     points = cut.select("key", "pos", F.posexplode(chars).alias("i", "cp"))
     mapping = F.broadcast(_mapping(spark))
