@@ -61,10 +61,45 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
+WIDE = 48  # letters of a pair that is computed together with others; longer ones go one by one
+
+
+def edit_counts(a: list[str], b: list[str]) -> np.ndarray:
+    """``_edits`` of many pairs of short texts at once: one row of the table for all pairs at a time."""
+    n, wide, high = len(a), max(map(len, b), default=0), max(map(len, a), default=0)
+    lengths_a, lengths_b = np.array([*map(len, a)], np.int32), np.array([*map(len, b)], np.int32)
+    out = lengths_b.copy()
+    if not n or not high:
+        return out
+    x = np.array(a, dtype=f"U{high}").view(np.uint32).reshape(n, high)
+    y = np.array(b, dtype=f"U{max(wide, 1)}").view(np.uint32).reshape(n, max(wide, 1))
+    steps = np.arange(y.shape[1] + 1, dtype=np.int32)
+    older, before = None, np.broadcast_to(steps, (n, len(steps))).copy()
+    for i in range(1, high + 1):
+        differ = x[:, i - 1, None] != y
+        best = np.minimum(before[:, :-1] + differ, before[:, 1:] + 1)
+        if older is not None:
+            swap = ~differ[:, :-1] & (x[:, i - 2, None] == y[:, 1:])
+            best[:, 1:] = np.where(swap, np.minimum(best[:, 1:], older[:, :-2] + 1), best[:, 1:])
+        # An insertion carries a cell to all that follow, at one each.
+        row = np.concatenate([np.full((n, 1), i, np.int32), best], axis=1) - steps
+        older, before = before, np.minimum.accumulate(row, axis=1) + steps
+        ends = lengths_a == i
+        out[ends] = before[ends, lengths_b[ends]]
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def unedited_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 less the edits per character of the longer text."""
-    return pd.Series([1 - _edits(x, y) / max(len(x), len(y), 1) for x, y in zip(a, b)], dtype=np.float64)
+    longest = np.maximum(np.maximum(a.str.len(), b.str.len()).to_numpy(np.int64), 1)
+    edits = np.zeros(len(a), np.int64)
+    short = longest <= WIDE
+    for rows in np.array_split(np.flatnonzero(short), max(1, int(short.sum()) // 4096)):
+        edits[rows] = edit_counts(a.iloc[rows].tolist(), b.iloc[rows].tolist())
+    for i in np.flatnonzero(~short):
+        edits[i] = _edits(a.iloc[i], b.iloc[i])
+    return pd.Series(1 - edits / longest)
 
 
 def entry_forms(entries: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -161,6 +161,11 @@ class TestCanonical:
     def test_edits(self):
         for a, b, n in [("abc", "acb", 1), ("abc", "abc", 0), ("", "ab", 2), ("casa", "cosas", 2), ("ca", "abc", 3)]:
             assert canonical._edits(a, b) == n
+        rng = np.random.default_rng(4)
+        texts = ["".join(rng.choice(list("abc"), rng.integers(0, 9))) for _ in range(600)]
+        a, b = texts[:300], texts[300:]
+        assert canonical.edit_counts(a, b).tolist() == [canonical._edits(x, y) for x, y in zip(a, b)]
+        assert canonical.edit_counts([], []).tolist() == []
 
 
 class TestLookalikes:
