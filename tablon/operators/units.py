@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablon.functions.text import strip_accents
 from tablon.operators.asof import asof_backward
+from tablon.session import cut_lineage
 
 Matrix = tuple[Fraction, Fraction, Fraction, Fraction]
 IDENTITY: Matrix = (Fraction(1), Fraction(0), Fraction(0), Fraction(1))
@@ -281,7 +282,10 @@ def amounts_in_soles(listings: DataFrame, runs: DataFrame, quotes: DataFrame) ->
     ).where(F.col("s").isNotNull()).select("anuncio_id", "serie_tc", "corrida_id", "s.amount", "s.unit")
     table = graph.table(spark, [f"uno {m}" for m in ["PEN", *FOREIGN]])
     units = convert(stated, table, "amount", "unit", "importe", "en").where(F.col("importe").isNotNull())
-    units = units.select("anuncio_id", "serie_tc", "corrida_id", F.col("importe").try_cast("decimal(20,6)").alias("importe"), F.substring_index("en", " ", -1).alias("divisa"))
+    # Read three times below, so texts are parsed once.
+    units = cut_lineage(units.select(
+        "anuncio_id", "serie_tc", "corrida_id", F.col("importe").try_cast("decimal(20,6)").alias("importe"), F.substring_index("en", " ", -1).alias("divisa")
+    ))
     local = units.where("divisa = 'PEN'").select("anuncio_id", F.col("importe").cast("decimal(38,10)").alias("x"))
     foreign = units.where("divisa <> 'PEN' and serie_tc is not null and corrida_id is not null")
     moments = (
