@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablon.session import cut_lineage
+
 ROWS_PER_GROUP = 200_000
 BLOCK_BITS = 6
 
@@ -79,7 +81,7 @@ def nearest_in_time(
     bits = max(1, tolerance.bit_length()) + BLOCK_BITS
     a = left.select(*[F.col(c).alias(n) for c, n in zip(left_cols, ("id", "entity", "us"))]).dropna()
     b = right.select(*[F.col(c).alias(n) for c, n in zip(right_cols, ("id", "entity", "us"))]).dropna()
-    a = a.withColumn("block", F.shiftright("us", bits))
+    a = cut_lineage(a.withColumn("block", F.shiftright("us", bits)))  # counted first, then matched
     b = b.groupBy("entity", "us").agg(F.min("id").alias("id"))
     b = b.withColumn("block", F.explode(F.array_distinct(F.array(*[F.shiftright(F.col("us") + i, bits) for i in (-tolerance, 0, tolerance)]))))
     sizes = a.groupBy("entity", "block").agg(F.ceil(F.count("*") / rows_per_group).cast("int").alias("parts"))
