@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tablon.session import cut_lineage
 
-BLOCKS = 256  # blocks of a source's permutation: sums of blocks are all that is ordered as a whole
+BLOCKS = 256  # blocks of a source's permutation at least: sums of blocks are all that is ordered as a whole
+ROWS_PER_BLOCK = 100_000
 
 
 def temperature_shares(
@@ -85,23 +86,26 @@ def source_sizes(docs: DataFrame, source: str, tokens: str) -> dict[str, int]:
 def realise(docs: DataFrame, budgets: dict[str, float], source: str, tokens: str, ident: Column, seed: int = 7) -> DataFrame:
     """Rows of ``docs`` as the mixture has them, with ``copia`` (1, 2, ...), for sources with a budget.
 
-    Every source is a seeded permutation of its rows, in BLOCKS blocks by hash, anew for each copy.
-    Copies that fit the budget are taken whole. Of the last one, whole blocks are taken in order
-    as long as they fit, and rows of the one block at the border as long as their middle is within
-    the budget. So only sums of blocks and the border blocks are ordered, never a source.
+    Every source is a seeded permutation of its rows, in blocks by hash, BLOCKS of them or as many as
+    have about ROWS_PER_BLOCK rows, anew for each copy.
+    Copies that fit the budget are taken whole. Of the last one, rows that are longer than what is
+    left are passed over; whole blocks are taken in order as long as they fit, and rows of the
+    one block at the border as long as their middle is within the budget. So only sums of blocks and the border blocks are ordered, never a source.
     """
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, float(b)) for s, b in budgets.items()] or [], "s string, budget double")
-    sums = docs.groupBy(F.col(source).alias("s")).agg(F.sum(tokens).alias("size")).where("size > 0")
+    sums = docs.groupBy(F.col(source).alias("s")).agg(
+        F.sum(tokens).alias("size"), F.greatest(F.lit(BLOCKS), F.ceil(F.count("*") / ROWS_PER_BLOCK)).alias("blocks")
+    ).where("size > 0")
     plan = plan.join(sums, "s").withColumn("whole", F.floor(F.col("budget") / F.col("size") + 1e-9).cast("int"))
     plan = F.broadcast(plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("size")))  # a row for each source named
     key = F.xxhash64(F.lit(seed), ident)
     rows = docs.withColumn("__order", key).join(plan, docs[source] == F.col("s"))
     taken = rows.where("whole > 0").withColumn("copia", F.explode(F.sequence(F.lit(1), F.col("whole"))))
-    part = rows.where("rest > 0").withColumn("__o", F.xxhash64("__order", "whole")).withColumn("__block", F.pmod(F.col("__o"), F.lit(BLOCKS)))
+    part = rows.where((F.col("rest") > 0) & (F.col(tokens) <= F.col("rest"))).withColumn("__o", F.xxhash64("__order", "whole")).withColumn("__block", F.pmod(F.col("__o"), F.col("blocks")))
     blocks = part.groupBy("s", "__block").agg(F.sum(tokens).alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("s").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(blocks.select("s", "__block", before.alias("start"), "t"))  # at most BLOCKS rows for each source named
+    starts = blocks.select("s", "__block", before.alias("start"), "t")
     placed = part.join(starts, ["s", "__block"])
     inner = placed.where("start + t <= rest")
     border = placed.where("start < rest and start + t > rest")
