@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ LABELS = {
 STREET = "av|avenida|calle|jr|jiron|pasaje|psje|prolongacion|ovalo|plaza|parque|via"
 ESTATE = "urb|urbanizacion|residencial|condominio|asoc|asociacion|coop|cooperativa"
 NOT_PLACES = ["venta", "alquiler", "departamento", "departamentos", "casa", "casas", "terreno", "terrenos", "habitacion", "habitaciones", "inmueble", "inmuebles"]
+PREFIXES = (
+    "urb", "urbanizacion", "residencial", "quinta", "villa", "condominio", "asoc", "asociacion", "coop", "cooperativa",
+    "pueblo tradicional", "pueblo joven",
+)
 LONGEST = 6
 
 
@@ -33,67 +40,107 @@ def label(value: Column) -> Column:
     return table[F.trim(F.regexp_replace(place_text(value), r"[\s-]+", " "))]
 
 
-def _segment(segment: Column) -> Column:
-    """The place's name in a part of an address: up to an inner street word, without small and estate words;
-    a name that is written twice in a row counts once."""
-    lead = F.get(F.split(segment, rf"\b(?:{STREET})\.?\b", 2), F.lit(0))
-    t = F.when(F.trim(lead) != "", lead).otherwise(segment)
+@dataclass(frozen=True)
+class LookupConfig:
+    """What the cascade knows of an area: names of districts (cut off behind a place's name), other names
+    of them, words that announce a place, and how many rows make a name known."""
+
+    districts: tuple[str, ...] = ()
+    aliases: dict[str, str] = field(default_factory=dict)
+    prefixes: tuple[str, ...] = PREFIXES
+    least: int = 2
+
+
+DEFAULT = LookupConfig()
+
+
+def district(value: Column, config: LookupConfig = DEFAULT) -> Column:
+    """The district's name as the index has it."""
+    t = place_text(value)
+    if not config.aliases:
+        return t
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in config.aliases.items() for x in kv])[t], t)
+
+
+def _segment(segment: Column, config: LookupConfig) -> Column:
+    """The place's name in a part of an address: what a prefix announces, else all, up to an inner street
+    word, without small and estate words and without the district behind it; a name that is written
+    twice in a row counts once."""
+    announced = rf"\b(?:{'|'.join(config.prefixes)})\.?\s+[a-z0-9\s.-]{{3,60}}"
+    found = F.regexp_extract(segment, announced, 0)
+    whole = F.when(found != "", found).otherwise(segment)
+    lead = F.get(F.split(whole, rf"\b(?:{STREET})\.?\b", 2), F.lit(0))
+    t = F.when(F.trim(lead) != "", lead).otherwise(whole)
     t = F.regexp_replace(F.regexp_replace(t, r"\b(en|de|del|la|el|los|las)\b", " "), rf"\b(?:{ESTATE})\b\.?", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ ./-]+|[ ./-]+$", "")
+    if config.districts:
+        names = "|".join(re.escape(x) for x in sorted(config.districts, key=len, reverse=True))
+        t = F.regexp_replace(t, rf"[ ./-]+(?:{names})$", "")
     return F.regexp_replace(t, r"^(\S+(?: \S+)*) \1$", "$1")
 
 
-def _is_place(name: Column) -> Column:
+def _is_place(name: Column, config: LookupConfig) -> Column:
     words = F.split(name, " ")
-    return (
+    known = (
         (F.length(name) >= 4) & ~name.rlike(rf"^(?:{STREET})\b") & (F.size(words) <= LONGEST)
         & ~F.forall(words, lambda w: w.isin(NOT_PLACES))
     )
+    return known & ~name.isin(list(config.districts)) if config.districts else known
 
 
-def candidates(*texts: Column) -> Column:
+def candidates(*texts: Column, config: LookupConfig = DEFAULT) -> Column:
     """Names of places in texts, in order, each once."""
-    lists = [F.transform(F.split(place_text(t), r"[,;|]+"), lambda s: _segment(F.trim(s))) for t in texts]
-    return F.array_distinct(F.filter(F.concat(*lists), _is_place))
+    lists = [F.transform(F.split(place_text(t), r"[,;|]+"), lambda s: _segment(F.trim(s), config)) for t in texts]
+    return F.array_distinct(F.filter(F.concat(*lists), lambda n: _is_place(n, config)))
 
 
-def _mode(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The most frequent label of each key (of equals the one that came first), its share, and the count."""
+def _mode(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The most frequent label of each key (of equals the one that came first), its share, the count, and
+    where the key came first."""
     per = rows.groupBy(*keys, "nse").agg(F.count("*").alias("n"), F.min("orden").alias("o"))
     best = F.max(F.struct("n", (-F.col("o")).alias("o"), "nse")).alias("b")
-    return per.groupBy(*keys).agg(best, F.sum("n").alias("n")).where("n >= 2").select(
-        *keys, F.col("b.nse").alias("nse"), (F.col("b.n") / F.col("n")).alias("confianza"), "n"
+    return per.groupBy(*keys).agg(best, F.sum("n").alias("n"), F.min("o").alias("orden")).where(F.col("n") >= least).select(
+        *keys, F.col("b.nse").alias("nse"), (F.col("b.n") / F.col("n")).alias("confianza"), "n", "orden"
     )
 
 
-def build_index(reference: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """Labels by (district, name) and by name, from ``distrito, lugar, nse``; names with under two rows
-    are left out, rows without district, place or known label too."""
+def build_index(reference: DataFrame, order: str, config: LookupConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Labels by (district, name) and by name, from ``distrito, lugar, nse``; names with fewer rows than
+    ``config.least`` are left out, rows without district, place or known label too."""
     rows = reference.select(
-        place_text(F.col("distrito")).alias("distrito"), label(F.col("nse")).alias("nse"), F.col(order).alias("orden"),
-        F.explode(candidates(F.col("lugar"))).alias("nombre"),
+        district(F.col("distrito"), config).alias("distrito"), label(F.col("nse")).alias("nse"), F.col(order).alias("orden"),
+        F.explode(candidates(F.col("lugar"), config=config)).alias("nombre"),
     ).where("distrito <> '' and nse is not null")
-    return _mode(rows, ["distrito", "nombre"]), _mode(rows, ["nombre"])
+    return _mode(rows, ["distrito", "nombre"], config.least), _mode(rows, ["nombre"], config.least)
 
 
-def classify(df: DataFrame, index: tuple[DataFrame, DataFrame], ident: str, place: str, district: str) -> DataFrame:
-    """``<ident>, nse, metodo, nombre, confianza``: the label of the first name of ``place`` that the index has for
-    the district, else of the first that it has at all, else of the longest known name within the text; the
-    last as equi-join of the text's word groups, not as a comparison with every name."""
+def classify(df: DataFrame, index: tuple[DataFrame, DataFrame], ident: str, places: list[str], where: str, config: LookupConfig = DEFAULT) -> DataFrame:
+    """``<ident>, nse, metodo, nombre, confianza``: the label of the first name in ``places`` that the index has for
+    the district, else of the first that it has at all, else of the longest known name within the texts, its
+    district's label first. The last is an equi-join of the texts' word groups, not a comparison with
+    every name. Null and blank texts give nulls; ids must be unique."""
     local, everywhere = index
-    rows = df.select(F.col(ident).alias("id"), place_text(F.col(district)).alias("distrito"), F.col(place).alias("t"))
-    listed = rows.select("id", "distrito", F.posexplode(candidates(F.col("t"))).alias("pos", "nombre"))
-    first = lambda r, rank, method: r.select(
-        "id", F.struct(F.lit(rank).alias("r"), F.col("pos"), F.lit(method).alias("metodo"), "nombre", "nse", "confianza").alias("hit")
-    )
-    one = first(listed.join(local, ["distrito", "nombre"]), 1, "urbanizacion_distrito")
-    two = first(listed.join(everywhere, "nombre"), 2, "urbanizacion_global")
-    words = F.filter(F.split(F.regexp_replace(place_text(F.col("t")), r"[^a-z0-9_]+", " "), " "), lambda w: w != "")
-    starts = rows.select("id", words.alias("w"), F.posexplode(words).alias("i", "first"))
-    groups = starts.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("w") - F.col("i"))), lambda k: F.array_join(F.slice("w", F.col("i") + 1, k), " "))).alias("nombre")).distinct()
-    long = everywhere.where("length(nombre) >= 8 or nombre like '% %'")
-    found = groups.join(long, "nombre").withColumn("pos", -F.length("nombre"))
-    three = first(found, 3, "urbanizacion_texto")
+    texts = [F.col(p) for p in places]
+    rows = df.select(
+        F.col(ident).alias("id"), district(F.col(where), config).alias("distrito"), candidates(*texts, config=config).alias("c"),
+        place_text(F.concat_ws(" ", *texts)).alias("t"),
+    )
+    hit = lambda rank, pos, method: F.struct(F.lit(rank).alias("r"), pos.alias("pos"), F.col("nombre").alias("nombre"), F.lit(method).alias("metodo"), "nse", "confianza").alias("hit")
+    listed = rows.select("id", "distrito", F.posexplode("c").alias("pos", "nombre"))
+    order = F.struct(F.col("pos").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    one = listed.join(local, ["distrito", "nombre"]).select("id", hit(1, order, "urbanizacion_distrito"))
+    two = listed.join(everywhere, "nombre").select("id", hit(2, order, "urbanizacion_global"))
+    words = F.filter(F.split(F.regexp_replace("t", r"[^a-z0-9_]+", " "), " "), lambda w: w != "")
+    starts = rows.select("id", "distrito", words.alias("w"), F.posexplode(words).alias("i", "first"))
+    spans = F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("w") - F.col("i"))), lambda k: F.array_join(F.slice("w", F.col("i") + 1, k), " "))
+    groups = starts.select("id", "distrito", F.explode(spans).alias("nombre")).distinct()
+    long = everywhere.where("length(nombre) >= 8 or nombre like '% %'").select("nombre", "orden", F.col("nse").alias("g"), F.col("confianza").alias("gc"))
+    own = local.select("distrito", "nombre", F.col("nse").alias("l"), F.col("confianza").alias("lc"))
+    found = groups.join(long, "nombre").join(own, ["distrito", "nombre"], "left")
+    found = found.withColumns({"nse": F.coalesce("l", "g"), "confianza": F.when(F.col("l").isNotNull(), F.col("lc")).otherwise(F.col("gc"))})
+    length = F.struct((-F.length("nombre")).cast("bigint").alias("a"), F.col("orden").cast("bigint").alias("b"))
+    three = found.select("id", hit(3, length, "urbanizacion_texto"))
     best = one.unionAll(two).unionAll(three).groupBy("id").agg(F.min("hit").alias("h"))
-    out = rows.select("id").join(best, "id", "left")
-    return out.select(F.col("id").alias(ident), F.col("h.nse").alias("nse"), F.col("h.metodo").alias("metodo"), F.col("h.nombre").alias("nombre"), F.round("h.confianza", 4).alias("confianza"))
+    return rows.select("id").join(best, "id", "left").select(
+        F.col("id").alias(ident), F.col("h.nse").alias("nse"), F.col("h.metodo").alias("metodo"), F.col("h.nombre").alias("nombre"), F.round("h.confianza", 4).alias("confianza")
+    )

@@ -328,16 +328,25 @@ def q_lookup_mode(s, d):
     return per.groupBy("distrito").agg(F.max_by("nse", F.struct("n", -F.col("o"))).alias("nse"), F.sum("n").alias("n"))
 
 
+def _area(s: SparkSession, d: str) -> lookup.LookupConfig:
+    """The area's districts and their aliases: the fixed lists, read as parameters."""
+    plain = lambda c: lookup.place_text(F.col(c))
+    names = {r["distrito_id"]: r["n"] for r in table(s, d, "distritos").select("distrito_id", plain("nombre").alias("n")).collect()}
+    aliases = table(s, d, "distritos_alias").select(plain("alias_texto").alias("a"), "distrito_id").collect()
+    return lookup.LookupConfig(tuple(names.values()), {r["a"]: names[r["distrito_id"]] for r in aliases if r["distrito_id"] in names})
+
+
 @query()
 def q_lookup_index(s, d):
-    local, everywhere = lookup.build_index(table(s, d, "lugares_nse"), "lugar_id")
+    local, everywhere = lookup.build_index(table(s, d, "lugares_nse"), "lugar_id", _area(s, d))
     return local.unionByName(everywhere.withColumn("distrito", F.lit(None).cast("string")))
 
 
 @query()
 def q_lookup_cascade(s, d):
-    index = lookup.build_index(table(s, d, "lugares_nse"), "lugar_id")
-    return lookup.classify(listings(s, d), index, "anuncio_id", "ubicacion", "distrito")
+    config = _area(s, d)
+    index = lookup.build_index(table(s, d, "lugares_nse"), "lugar_id", config)
+    return lookup.classify(listings(s, d), index, "anuncio_id", ["ubicacion", "nse_match"], "distrito", config)
 
 
 @query("""

@@ -128,12 +128,21 @@ def test_lookup_cascade(spark):
         [(1, "Calle 5, Urb Los Alamos", "dos"), (2, "Los Alamos", "tres"), (3, "frente a los alamos grandes, x", "uno"), (4, "Unico", "dos"), (5, None, None)],
         "id int, t string, d string",
     )
-    got = {r["id"]: (r["nse"], r["metodo"]) for r in lookup.classify(rows, index, "id", "t", "d").collect()}
+    got = {r["id"]: (r["nse"], r["metodo"]) for r in lookup.classify(rows, index, "id", ["t"], "d").collect()}
     assert got[1] == ("Bajo", "urbanizacion_distrito")
     assert got[2] == ("Alto", "urbanizacion_global")  # a tie: the one that came first
     assert got[4] == (None, None) and got[5] == (None, None) and len(got) == 5
 
 
+def test_lookup_with_an_area(spark):
+    config = lookup.LookupConfig(("uno", "dos"), {"centro": "uno"}, least=1)
+    ref = spark.createDataFrame([(1, "Centro", "Urb. Pinos Dos", "alto"), (2, "Dos", "Villa Sauce", "bajo")], "o int, distrito string, lugar string, nse string")
+    index = lookup.build_index(ref, "o", config)
+    rows = spark.createDataFrame([(1, "x, casa en urb Pinos Uno", "centro"), (2, "cerca de villa sauce y mas", "Uno"), (3, "Uno", "uno")], "id int, t string, d string")
+    got = {r["id"]: (r["nombre"], r["metodo"]) for r in lookup.classify(rows, index, "id", ["t"], "d", config).collect()}
+    assert got == {1: ("pinos", "urbanizacion_distrito"), 2: ("villa sauce", "urbanizacion_texto"), 3: (None, None)}
+
+
 def test_duplicate_groups(spark):
     df = spark.createDataFrame(
         [(1, "Inmobiliaria Sol", "Casa con patio amplio", "z", 100.0), (2, "inmobiliaria sol", "casa amplio con patio", "z", 101.0), (3, "Inmobiliaria Sol", "casa con patio amplio", "otra", 100.0), (4, "", "x", "z", 1.0), (5, None, "x", "z", None)],
