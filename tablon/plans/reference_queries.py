@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablon.functions import dates, identity, numbers, text
-from tablon.operators import accumulate, documents, duplicates, embedded, fx, lifecycle, lookup, quality
+from tablon.operators import accumulate, documents, duplicates, embedded, fx, lifecycle, lookup, quality, validate
 from tablon.operators.asof import asof_backward
+from tablon.sources import readers
 from tablon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,3 +496,51 @@ def q_stream_windows(s, d):
     run = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
     run.awaitTermination()
     return s.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("dia"), "n")
+
+
+@query("""
+SELECT portal, count(*) FILTER (trim(coalesce(fecha_extraccion, '')) = '') AS sin_fecha, count(*) FILTER (trim(coalesce(titulo, '')) = '') AS sin_titulo, count(*) AS filas FROM anuncios GROUP BY portal""")
+def q_validation(s, d):
+    checked = validate.validated(table(s, d, "anuncios"), {"sin_titulo": text.is_blank(F.col("titulo"))})
+    return checked.groupBy("portal").agg(
+        F.count_if(F.array_contains("errores", "fecha_extraccion")).alias("sin_fecha"), F.count_if(F.array_contains("warnings", "sin_titulo")).alias("sin_titulo"), F.count("*").alias("filas")
+    )
+
+
+@query(f"""
+SELECT anuncio_id, CASE WHEN trim(coalesce(moneda, '')) <> '' THEN trim(moneda) WHEN trim(coalesce(serie_tc, '')) <> '' THEN trim(serie_tc) END AS valor,
+  CASE WHEN trim(coalesce(moneda, '')) <> '' THEN 'moneda' WHEN trim(coalesce(serie_tc, '')) <> '' THEN 'serie' END AS origen FROM {ONCE}""")
+def q_provenance(s, d):
+    first = validate.first_filled({"moneda": F.col("moneda"), "serie": F.col("serie_tc")})
+    return listings(s, d).select("anuncio_id", first.alias("f")).select("anuncio_id", "f.valor", "f.origen")
+
+
+@query("""
+SELECT series_codigos, CAST(fecha AS date) AS fecha, compra, venta FROM tipo_cambio_bcrp WHERE compra > 0 AND venta > 0""")
+def q_rate_series(s, d):
+    """Quotes as a service would answer, in one JSON for each series and month, read back."""
+    period = F.struct(F.date_format("fecha", "dd.MM.yyyy").alias("x"), F.date_format("fecha", "yyyy-MM-dd").alias("name"), F.array(F.coalesce(F.col("compra").cast("string"), F.lit("n.d.")), F.col("venta").cast("string")).alias("values"))
+    rows = table(s, d, "tipo_cambio_bcrp").groupBy("series_codigos", F.date_format("fecha", "yyyy-MM").alias("mes")).agg(F.collect_list(period).alias("periods"))
+    answers = rows.select("series_codigos", F.concat(F.to_json(F.struct("periods")), F.lit(" <!-- fin -->")).alias("json"))
+    series = [r[0] for r in answers.select("series_codigos").distinct().collect()]  # a few series
+    return accumulate.union_all([readers.rate_series(answers.where(F.col("series_codigos") == x), "json").select(F.lit(x).alias("series_codigos"), "fecha", "compra", "venta") for x in sorted(series)])
+
+
+@query("""
+SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9_-]+', '_', 'g'), '_'), ''), 'sin_valor') || '_' ||
+  coalesce(nullif(trim(regexp_replace(lower(coalesce(lang, '')), '[^a-z0-9_-]+', '_', 'g'), '_'), ''), 'sin_valor') || '_listado_p' || doc_id || '.html' AS archivo,
+  CAST(octet_length(encode(text)) AS int) AS bytes FROM documents""")
+def q_snapshot_facts(s, d):
+    pages = table(s, d, "documents").withColumn("etapa", F.lit("Listado"))
+    facts = readers.snapshot_facts(pages, "text", "source", "lang", "doc_id", "etapa")
+    return facts.select(F.col("pagina").alias("doc_id"), "archivo", "bytes")
+
+
+@query("""
+WITH v AS (SELECT portal, count(*) FILTER (trim(coalesce(moneda, '')) <> '') / count(*) < 0.66 AS mal FROM anuncios GROUP BY portal)
+SELECT CASE WHEN mal THEN 'degradadas' ELSE 'vigentes' END AS destino, count(*) AS filas, count(DISTINCT portal) AS portales FROM anuncios JOIN v USING (portal) GROUP BY 1""")
+def q_degraded_route(s, d):
+    rows = table(s, d, "anuncios")
+    verdict = quality.quality_gate(rows, {"moneda": 0.66}, by=["portal"]).select("portal", "apta")
+    routed = rows.join(verdict, "portal").withColumn("destino", F.when(F.col("apta"), "vigentes").otherwise("degradadas"))
+    return routed.groupBy("destino").agg(F.count("*").alias("filas"), F.countDistinct("portal").alias("portales"))

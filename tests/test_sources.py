@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablon.operators.lifecycle import Policy
-from tablon.sources import portal
+from tablon.plans.pipeline import RunRequest, process_run
+from tablon.sources import portal, readers
 from tablon.sources.state import VersionedTable, append_log, read_log
 from tablon.streaming.runs import stream_runs
 
@@ -68,3 +69,46 @@ def test_portal_reader():
     parts = reader.partitions()
     rows = [r for p in parts for r in reader.read(p)]
     assert len(parts) == 3 and [r[2] for r in rows] == ["0", "1", "2", "4"] and rows[0][3] == "venta"
+
+
+def test_a_run_from_raw_to_state(spark, tmp_path):
+    state = VersionedTable(spark, str(tmp_path / "state"), schema(spark, "sector string, " + STATE))
+    log_ddl = schema(spark, "corrida_id long, fecha timestamp_ntz, sector string, portal string, tipo_operacion string, id_fuente string, listado_completo boolean, estado_calidad string, n_total long, n_nuevos long, n_repetidos long")
+    raw = spark.createDataFrame([("h/1", "a", "2026-05-01"), ("h/2?x", "b", None), (None, None, None)], "enlace string, titulo string, fecha_publicacion string")
+
+    def run(n, source, rows, **more):
+        log = read_log(spark, str(tmp_path / "log"), log_ddl)
+        request = RunRequest(datetime(2026, 5, n), n, source, "s", "p", "v", **more)
+        return process_run(rows, request, state, log, str(tmp_path / "log"), str(tmp_path / "bad"), Policy(absences=1), ["titulo"])
+
+    assert run(1, "x1", raw) == "ok"
+    assert run(2, "x1", raw) == "ya_registrado"
+    assert run(3, "x2", raw.where("enlace = 'h/1'")) == "ok"
+    assert {r["enlace"]: r["activo"] for r in state.read().collect()} == {"h/1": True, "h/2": False}
+    assert run(4, "x3", raw.withColumn("titulo", F.lit(" ")).dropna("any", subset=["enlace"])) == "degradado"
+    assert run(5, "x4", raw.limit(0)) == "sin_datos" and state.version() == 2
+    log = read_log(spark, str(tmp_path / "log"), log_ddl).collect()
+    assert [(r["corrida_id"], r["n_total"], r["n_nuevos"], r["n_repetidos"]) for r in log] == [(3, 1, 0, 1), (1, 2, 2, 0)]
+    assert spark.read.parquet(str(tmp_path / "bad" / "corrida=4")).count() == 2
+
+
+def test_rate_series(spark):
+    text = '{"periods": [{"name": "16.May.26", "values": ["3.7", "3,8"]}, {"name": "17/05/2026", "values": ["n.d.", "3.9"]}, {"name": "2026-05-18", "values": ["3.6", "3.75"]}, {"name": "x", "values": ["1", "2"]}]} junk'
+    df = spark.createDataFrame([(text,), (None,), ("nada",)], "t string")
+    assert sorted((str(r["fecha"]), r["compra"], r["venta"]) for r in readers.rate_series(df, "t").collect()) == [("2026-05-16", 3.7, 38.0), ("2026-05-18", 3.6, 3.75)]
+
+
+def test_reference_list(spark):
+    names = {"distrito": ["distrito"], "nse": ["nse", "clasificacion"]}
+    shifted = spark.createDataFrame([(0, "Informe", None), (1, "Distrito", "Clasificación"), (2, "uno", "alto"), (3, "dos", None)], "_orden int, a string, b string")
+    assert [tuple(r) for r in readers.reference_list(shifted, names).collect()] == [("uno", "alto")]
+    plain = spark.createDataFrame([("uno", "alto")], "DISTRITO string, NSE string")
+    assert [tuple(r) for r in readers.reference_list(plain, names).collect()] == [("uno", "alto")]
+    assert readers.reference_list(plain.select("NSE"), names) is None
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([("<title> A b </title><h1><b>x</b> y</h1>", "P", "Venta", 3, "Lista")], "h string, p string, o string, n int, e string")
+    row = readers.snapshot_facts(pages, "h", "p", "o", "n", "e").first()
+    assert (row["archivo"], row["titulo"], row["desafio"]) == ("p_venta_lista_p3.html", "A b", False)
+    assert pages.select(readers.element_text(F.col("h"), ["<h2>(.*?)</h2>", "<h1>(.*?)</h1>"])).first()[0] == "x y"
