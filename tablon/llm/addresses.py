@@ -75,7 +75,7 @@ def parse_address(text: str | None) -> dict | None:
             names = [" | ".join(phrases)]
         ends = _ends(names[0].split()) if "|" not in names[0] else []
         return {
-            "number": "", "block": m.group(1).replace(" ", ""), "lot": m.group(2), "words": content_words(names[0]),
+            "number": "", "block": m.group(1).replace(" ", ""), "lot": m.group(2), "words": content_words(names[0]), "after": [],
             "name": names[0], "front": True, "clean": clean, "phrases": phrases + ends,
         }
     m = NUMBER.search(s)
@@ -83,14 +83,17 @@ def parse_address(text: str | None) -> dict | None:
         return None
     before, after = s[: m.start()], s[m.end() :]
     left, right = _PARTS.split(before), _PARTS.split(after)
-    front = not left[-1].strip(" .")
+    # The name is behind a number that begins its part, or that a street's type follows.
+    front = not left[-1].strip(" .") or bool(_TYPE.match(right[0].strip()) and not _TYPE.search(left[-1]))
     own = right[0] if front else left[-1]
-    others = ([*left[:-1], *right[1:]]) if front else [*left[:-1], *right]
+    others = [*left, *right[1:]] if front else [*left[:-1], *right]
     phrases = [p for p in others if p.strip(" .") and not _ESTATE.search(p)]
     for part in others:
         cut = _ESTATE.split(part, 1)
         if len(cut) == 2:
             phrases += [p for p in [cut[0], *_ends(cut[1].split())] if p.strip(" .")]
+    # Without any type, it may also be behind a number in the middle.
+    after = [] if front or _TYPE.search(own) else content_words(_ESTATE.split(right[0], 1)[0])
     typed = _TYPE.split(own, 1)
     if len(typed) == 2:
         name, lead = typed[1], typed[0]
@@ -107,8 +110,8 @@ def parse_address(text: str | None) -> dict | None:
         phrases += _ends(name.split())
     phrases += [e for p in phrases if len(p.split()) > 4 for e in _ends(p.split())]
     return {
-        "number": str(int(m.group(1) or m.group(2))), "block": "", "lot": "", "words": words, "name": name, "front": front,
-        "clean": len(typed) == 2 and not front and len(cut) == 1 or len(cut) == 1 and len(words) <= 2, "phrases": phrases,
+        "number": str(int(m.group(1) or m.group(2))), "block": "", "lot": "", "words": words, "after": after, "name": name, "front": front,
+        "clean": len(cut) == 1 and not after and (len(words) <= 2 or len(typed) == 2 and not front), "phrases": phrases,
     }
 
 
@@ -118,15 +121,16 @@ def _ends(words: list[str]) -> list[str]:
     return [p for p in dict.fromkeys([" ".join(words[:k]) for k in n] + [" ".join(words[-k:]) for k in n]) if len(p) >= 6]
 
 
-PARSED = "id long, number string, block string, lot string, words array<string>, front boolean, clean boolean, name string, phrases array<string>"
+PARSED = "id long, number string, block string, lot string, words array<string>, after array<string>, front boolean, clean boolean, name string, phrases array<string>"
+
+FIELDS = ["number", "block", "lot", "words", "after", "front", "clean", "name", "phrases"]
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [(i, parse_address(t)) for i, t in zip(batch["id"], batch["address"])]
         yield pd.DataFrame(
-            [(i, *(p[k] for k in ("number", "block", "lot", "words", "front", "clean", "name", "phrases"))) for i, p in rows if p],
-            columns=["id", "number", "block", "lot", "words", "front", "clean", "name", "phrases"],
+            [(i, *(p[k] for k in FIELDS)) for i, p in rows if p], columns=["id", *FIELDS]
         )
 
 
@@ -162,10 +166,13 @@ def corrections(words: DataFrame) -> DataFrame:
 
 def _corrected(parsed: DataFrame) -> DataFrame:
     """``parsed`` with its words corrected."""
-    each = parsed.select("id", F.posexplode("words").alias("pos", "word"))
+    each = parsed.select("id", F.posexplode(F.concat("words", "after")).alias("pos", "word"))
     fixed = each.join(corrections(each.select("word")), "word", "left").select("id", "pos", F.coalesce("right", "word").alias("word"))
-    back = fixed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
-    return parsed.drop("words").join(back, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    back = fixed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("all"))
+    none, n = F.array().cast("array<string>"), F.size("words")
+    return parsed.join(back, "id", "left").withColumn("all", F.coalesce("all", none)).withColumns(
+        {"words": F.when(n > 0, F.slice("all", F.lit(1), n)).otherwise(none), "after": F.slice("all", n + 1, F.greatest(F.size("after"), F.lit(0)))}
+    ).drop("all")
 
 
 def stated_localities(parsed: DataFrame, entries: DataFrame) -> DataFrame:
@@ -216,7 +223,7 @@ def _lot_words(name: pd.Series, phrase: pd.Series, words: pd.Series) -> pd.Serie
 
 def _street_names(rows: DataFrame) -> DataFrame:
     """``rows`` with ``street``: the name at the number, found by a beam of hypotheses: the one to
-    LONGEST_NAME words next to the number, weighed by how many clean addresses of the locality
+    LONGEST_NAME words next to the number, on the side where it may be, weighed by how many clean addresses of the locality
     and of all localities have that name, and by how many names have as many words."""
     clean = rows.where("clean and size(words) between 1 and 4").select("locality", F.array_join("words", " ").alias("street"), F.size("words").alias("k"))
     lengths = clean.groupBy("k").agg(F.count("*").alias("nk"))
@@ -224,15 +231,16 @@ def _street_names(rows: DataFrame) -> DataFrame:
     shares = lengths.select("k", (F.col("nk") / total).alias("share"))  # as many rows as lengths: four
     local = clean.groupBy("locality", "street").agg(F.count("*").alias("nl"))
     everywhere = clean.groupBy("street").agg(F.count("*").alias("ng"))
+    sides = rows.select("id", "locality", "words", "front").unionAll(rows.select("id", "locality", "after", F.lit(True))).where("size(words) > 0")
     k = F.explode(F.sequence(F.lit(1), F.least(F.size("words"), F.lit(LONGEST_NAME))))
-    guesses = rows.where("size(words) > 0").select("id", "locality", "words", "front", k.alias("k"))
+    guesses = sides.select("id", "locality", "words", "front", k.alias("k"))
     part = F.when(F.col("front"), F.slice("words", F.lit(1), F.col("k"))).otherwise(F.slice("words", -F.col("k"), F.col("k")))
     guesses = guesses.select("id", "locality", "k", F.array_join(part, " ").alias("street"))
     weighed = (
         guesses.join(local, ["locality", "street"], "left").join(everywhere, "street", "left").join(F.broadcast(shares), "k", "left")
         .withColumn("weight", F.log(F.coalesce("share", F.lit(0.0)) + 1e-6) + F.log(1 + 10 * F.coalesce("nl", F.lit(0)) + F.coalesce("ng", F.lit(0))))
     )
-    best = weighed.groupBy("id").agg(F.max_by("street", F.struct("weight", "k")).alias("street"))
+    best = weighed.groupBy("id").agg(F.max_by("street", F.struct("weight", "k", "street")).alias("street"))
     return rows.join(best, "id")
 
 
@@ -248,7 +256,7 @@ def resolved_addresses(listings: DataFrame, entries: DataFrame, aliases: DataFra
         .join(typed.select(F.col("anuncio_id").alias("id"), F.col("distrito_id").alias("typed")), "id", "left")
         .withColumn("locality", F.coalesce(F.col("locality").cast("bigint"), "typed"))
     )
-    rows = cut_lineage(rows.select("id", "number", "block", "lot", "words", "front", "clean", "name", "phrase", "locality"))
+    rows = cut_lineage(rows.select("id", "number", "block", "lot", "words", "after", "front", "clean", "name", "phrase", "locality"))
     streets = _street_names(rows.where("number <> ''")).select("id", "locality", F.col("street").alias("name"), F.col("number").alias("place"))
     lots = rows.where("number = ''").select(
         "id", "locality", F.array_join(_lot_words(F.col("name"), F.col("phrase"), F.col("words")), " ").alias("name"),

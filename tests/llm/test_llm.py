@@ -249,6 +249,7 @@ class TestAddresses:
         ("text", "number", "block", "words"),
         [
             ("Jr. Girasoles de las Nieves #7231, Los Granados", "7231", "", ["girasoles", "nieves"]), ("844 CA. CANDILEJAS D. MIRADOR", "844", "", ["candilejas", "mirador"]),
+            ("Puente Ladrillo 5916 AV Huarangos Tórtolas Dpto. 206", "5916", "", ["huarangos", "tortolas"]),
             ("Calle Graneros d/l Hojarasca Nro. 3171 Dpto. 308", "3171", "", ["graneros", "hojarasca"]), ("Urb. La Noria, Mz. O Lt. 29", "", "o", ["noria"]),
             ("av Relicario de la Botella Nº567 Urb. La Tinaja Norte", "567", "", ["relicario", "botella"]), ("Manzana J46 Lote 74; Urb Los Ficus II Etapa", "", "j46", ["ficus", "ii", "etapa"]),
         ],
