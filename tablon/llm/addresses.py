@@ -280,7 +280,12 @@ def place_ids(resolved: DataFrame) -> DataFrame:
     keys = rows.select("locality", "place", "name").distinct()
     several = keys.groupBy("locality", "place").agg(F.count("*").alias("n")).where("n > 1").select("locality", "place")
     left = keys.join(several, ["locality", "place"], "left_semi").withColumn("stage", F.regexp_extract("name", r"\b(i+v?|iv)\b", 1))
-    pairs = left.join(left.withColumnRenamed("name", "other"), ["locality", "place", "stage"]).where("name < other")
+    # Letter pairs carry their place, so only names of one place meet, and of these only alike ones.
+    at = F.concat_ws("|", F.col("locality").cast("string"), "place", "stage")
+    sets = left.select(F.concat_ws("|", at, "name").alias("id"), F.transform(grams(F.col("name")), lambda g: F.concat(at, F.lit("|"), g)).alias("tokens"))
+    near = cut_lineage(similarity_join(sets, sets, 0.35).where("left_id < right_id").select("left_id", "right_id"))
+    part = lambda c, i: F.get(F.split(c, r"\|"), F.lit(i))
+    pairs = near.select(part("left_id", 0).cast("bigint").alias("locality"), part("left_id", 1).alias("place"), part("left_id", 3).alias("name"), part("right_id", 3).alias("other"))
     same = pairs.where(unedited_share(F.col("name"), F.col("other")) >= SAME_SPELLING)
     key = lambda n: F.struct("locality", "place", F.col(n).alias("name"))
     clusters = connected_components(same.select(key("name").alias("a"), key("other").alias("b")), "a", "b")
