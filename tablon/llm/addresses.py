@@ -178,7 +178,8 @@ def _corrected(parsed: DataFrame) -> DataFrame:
 def stated_localities(parsed: DataFrame, entries: DataFrame) -> DataFrame:
     """``id, locality, phrase``: the list entry that an address names, and in which words. Distinct
     phrases are compared with the names (also with the first word's initial); the nearest counts."""
-    phrases = parsed.select("id", F.explode("phrases").alias("phrase")).withColumn("letters", F.array_join(plain_words(F.col("phrase")), ""))
+    each = parsed.select("id", F.explode("phrases").alias("phrase"))
+    phrases = each.select("phrase").distinct().withColumn("letters", F.array_join(plain_words(F.col("phrase")), ""))
     phrases = cut_lineage(phrases.where(F.length("letters") >= 6))  # read three times
     names = entries.select(F.col("distrito_id").alias("entry"), plain_words(F.col("nombre")).alias("w"))
     initial = F.concat(F.array(F.substring(F.get("w", F.lit(0)), 1, 1)), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))))
@@ -197,7 +198,8 @@ def stated_localities(parsed: DataFrame, entries: DataFrame) -> DataFrame:
     rated = rated.where((F.least(F.length("left_id"), F.length("right_id")) >= 9) | (F.substring("left_id", 1, 1) == F.substring("right_id", 1, 1)))
     close = rated.join(forms, F.col("right_id") == F.col("form")).select(F.col("left_id").alias("letters"), "entry", F.col("score") * 0.99)
     best = exact.unionAll(close).groupBy("letters").agg(F.max(F.struct("score", (-F.col("entry")).alias("e"))).alias("b"))
-    hit = phrases.join(best, "letters").select("id", "phrase", F.col("b.score").alias("score"), (-F.col("b.e")).alias("locality"))
+    named = phrases.join(best, "letters").select("phrase", F.col("b.score").alias("score"), (-F.col("b.e")).alias("locality"))
+    hit = each.join(named, "phrase")
     top = hit.groupBy("id").agg(F.max(F.struct("score", F.length("phrase").alias("n"), "phrase", "locality")).alias("h"))
     return top.select("id", F.col("h.locality").alias("locality"), F.col("h.phrase").alias("phrase"))
 
