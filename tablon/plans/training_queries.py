@@ -55,5 +55,57 @@ WHERE a.enlace IS NULL OR b.enlace IS NULL
       IS DISTINCT FROM (b.titulo, b.precio, b.anunciante_id, b.ausencias_consecutivas)
 """
 
+
+
+def _money(t: str) -> str:
+    """The currency of a text in SQL; the order matters."""
+    return (
+        f"CASE WHEN regexp_matches({t}, 'clp|chilen') THEN 'CLP' WHEN regexp_matches({t}, 'r\\$|brl|\\breal(es)?\\b') THEN 'BRL' WHEN regexp_matches({t}, '\\beur|€') THEN 'EUR' "
+        f"WHEN regexp_matches({t}, 'us?d? ?\\$|u\\$s|usd|dolar|\\$') THEN 'USD' WHEN regexp_matches({t}, '(^|[^a-z])s/|\\bsol(es)?\\b|\\bpen\\b') THEN 'PEN' END"
+    )
+
+
+def _factor(t: str) -> str:
+    """The scale of a text in SQL."""
+    return (
+        f"CASE WHEN regexp_matches({t}, '\\b(centavos?|cents?|centimos?|cts?)\\b') THEN 0.01 WHEN regexp_matches({t}, '\\b(millon(es)?|mill|mm)\\b') THEN 1000000 "
+        f"WHEN regexp_matches({t}, '\\bmil(es)?\\b|\\b1[., ]?000\\b') THEN 1000 ELSE 1 END"
+    )
+
+
+_WORDS = (
+    "MAP {'un': 1, 'dos': 2, 'tres': 3, 'diez': 10, 'veinte': 20, 'treinta': 30, 'cuarenta': 40, 'cincuenta': 50, 'sesenta': 60, 'setenta': 70, 'ochenta': 80, 'noventa': 90, 'cien': 100, "
+    "'ciento': 100, 'doscientos': 200, 'trescientos': 300, 'cuatrocientos': 400, 'quinientos': 500, 'seiscientos': 600, 'setecientos': 700, 'ochocientos': 800, 'novecientos': 900}"
+)
+#: Number words here are hundreds and tens of thousands, as listings have them.
+P1_SQL = f"""
+WITH a AS (
+  SELECT anuncio_id, serie_tc, corrida_id, strip_accents(lower(coalesce(precio, ''))) AS p, strip_accents(lower(coalesce(moneda, ''))) AS m
+  FROM anuncios QUALIFY row_number() OVER (PARTITION BY anuncio_id ORDER BY recibido_en) = 1),
+n AS (
+  SELECT *, regexp_extract(p, '[0-9]+(?:[., ''][0-9]+)*') AS t, regexp_extract(p, '[0-9]+(?:[., ''][0-9]+)*\\s*(miles|mil|millones|millon|mill|mm|m|k)(?:[^a-z0-9²]|$)', 1) AS k,
+    regexp_replace(p, '[0-9]+(?:[., ''][0-9]+)*', ' ') AS rest FROM a),
+g AS (SELECT *, regexp_extract_all(t, '[0-9]+') AS gs, regexp_matches(t, '[.,][0-9]+$') AND NOT regexp_matches(t, '[.,][0-9][0-9][0-9]$') AS cents FROM n),
+v AS (
+  SELECT *, CASE
+    WHEN t <> '' THEN try_cast(CASE WHEN cents THEN array_to_string(gs[:-2], '') || '.' || gs[-1] ELSE array_to_string(gs, '') END AS decimal(18, 6)) *
+      CASE WHEN k IN ('k', 'mil', 'miles') THEN 1000 WHEN k <> '' THEN 1000000 ELSE 1 END
+    WHEN regexp_matches(p, '\\bmil\\b') THEN CAST(list_sum(list_transform(string_split(p, ' '), lambda w: coalesce({_WORDS}[w], 0))) * 1000 AS decimal(18, 6)) END AS monto,
+    {_money("rest")} AS propia, {_money("m")} AS ajena, {_factor("m")} AS escala FROM g),
+x AS (
+  SELECT anuncio_id, serie_tc, corrida_id, coalesce(propia, ajena) AS divisa, CAST(monto * CASE WHEN propia IS NULL THEN escala ELSE 1 END AS decimal(20, 6)) AS monto
+  FROM v WHERE monto IS NOT NULL AND coalesce(propia, ajena) IS NOT NULL),
+u AS (
+  SELECT series_codigos, fecha, venta, string_split(replace(regexp_replace(strip_accents(lower(coalesce(unidad, nota))), '^valores en ', ''), ' x ', ' por '), ' por ') AS s FROM tipo_cambio_bcrp),
+q AS (
+  SELECT series_codigos, fecha, CASE WHEN coalesce({_money("s[1]")}, 'PEN') = 'PEN' THEN CAST(CAST(venta AS decimal(18, 9)) * CAST({_factor("s[1]")} AS decimal(9, 2)) / {_factor("s[2]")} AS decimal(17, 10))
+    ELSE CAST(1 / venta AS decimal(17, 10)) END AS tasa FROM u),
+r AS (
+  SELECT x.*, c.fecha FROM x JOIN corridas c USING (corrida_id) WHERE divisa <> 'PEN' AND serie_tc IS NOT NULL)
+SELECT anuncio_id, CAST(floor(monto + 0.5) AS bigint) AS soles FROM x WHERE divisa = 'PEN'
+UNION ALL
+SELECT r.anuncio_id, CAST(floor(r.monto * q.tasa + 0.5) AS bigint) FROM r ASOF JOIN q ON r.serie_tc = q.series_codigos AND r.fecha >= q.fecha
+"""
+
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
-ORACLES = {"p5_found": P5_SQL}
+ORACLES = {"p1_found": P1_SQL, "p5_found": P5_SQL}
