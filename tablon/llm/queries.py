@@ -9,7 +9,7 @@ from tablon.functions.identity import canonical_link
 from tablon.llm.addresses import same_address_pairs
 from tablon.llm.canonical import listings_entries
 from tablon.llm.components import listing_groups
-from tablon.llm.lookalikes import lookalike_pairs
+from tablon.llm.lookalikes import LOOKALIKES, lookalike_pairs
 from tablon.llm.mixture import counted, mix_sources, tempered
 from tablon.llm.nearest import nearest_in_time
 from tablon.llm.tokens import count_tokens, encode_texts
@@ -85,6 +85,25 @@ reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON
 SELECT a AS anuncio_id, least(a, min(b)) AS grupo_id FROM reach GROUP BY a
 """
 
+def _p10_sql() -> str:
+    """The forms of texts with the functions that SQL has: signs dropped or translated one by one, then NFC."""
+    wide = range(0xFF01, 0xFF5F)
+    spaces = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
+    source = "".join(LOOKALIKES) + "Ёё" + "".join(map(chr, [*wide, *spaces]))
+    target = "".join(LOOKALIKES.values()) + "Ëë" + "".join(chr(c - 0xFEE0) for c in wide) + " " * len(spaces)
+    target = target.replace("'", "''")
+    emoji = r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{21FF}\x{2300}-\x{27BF}]"
+    kept = "text"
+    for _ in range(2):  # a joiner between emoji stays, also where it follows another
+        kept = f"regexp_replace({kept}, '({emoji})\u200d({emoji})', '\\1\ufdd0\\2', 'g')"
+    hidden = r"[\x{AD}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
+    lines = f"regexp_replace(regexp_replace({kept}, '{hidden}', '', 'g'), '\\r\\n?', chr(10), 'g')"
+    return f"""
+WITH f AS (SELECT text, nfc_normalize(translate({lines}, '{source}', '{target}')) AS c FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT d.doc_id, d.text, f.c FROM documents d JOIN f USING (text) WHERE regexp_matches(c, '\\S'))
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.c = b.c AND a.doc_id < b.doc_id AND a.text <> b.text"""
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -96,4 +115,4 @@ QUERIES = {
     "p9_temperatura": p9_temperatura,
     "p10_found": p10_found,
 }
-ORACLES = {"p4_found": P4_SQL}
+ORACLES = {"p4_found": P4_SQL, "p10_found": _p10_sql()}
