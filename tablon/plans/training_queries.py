@@ -107,5 +107,43 @@ UNION ALL
 SELECT r.anuncio_id, CAST(floor(r.monto * q.tasa + 0.5) AS bigint) FROM r ASOF JOIN q ON r.serie_tc = q.series_codigos AND r.fecha >= q.fecha
 """
 
+P2_SQL = r"""
+WITH once AS (SELECT * FROM anuncios QUALIFY row_number() OVER (PARTITION BY anuncio_id ORDER BY recibido_en) = 1),
+x AS (
+  SELECT anuncio_id, portal, 'fecha_publicacion' AS campo, trim(regexp_replace(fecha_publicacion, '\s+', ' ', 'g')) AS raw FROM once
+  UNION ALL SELECT anuncio_id, portal, 'fecha_extraccion', trim(regexp_replace(fecha_extraccion, '\s+', ' ', 'g')) FROM once),
+t AS (SELECT x.*, lower(raw) AS s, zona_horaria AS z, orden_fecha AS o FROM x JOIN portales USING (portal) WHERE raw IS NOT NULL),
+k AS (
+  SELECT *, CASE WHEN regexp_full_match(s, '[0-9]{10}([0-9]{3})?') THEN 'e' WHEN regexp_matches(s, '^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}') THEN 'i' WHEN regexp_matches(s, '^[0-9]{8}t') THEN 'c'
+    WHEN regexp_matches(s, '^[0-9]{1,2}[-/.][0-9]{1,2}[-/.]([0-9]{4}|[0-9]{2})( |$)') THEN 'n' WHEN regexp_matches(s, '^([a-z]{3}, )?[0-9]{1,2} (de )?[a-z]+\.? (de )?[0-9]{4}') THEN 't'
+    WHEN regexp_matches(s, '^[a-z]+ [0-9]{1,2}, [0-9]{4}') THEN 'm' END AS forma FROM t),
+g AS (
+  SELECT *, CASE forma
+    WHEN 'i' THEN regexp_extract(s, '^([0-9]{4})[-/]([0-9]{2})[-/]([0-9]{2})(.*)$', ['a', 'b', 'c', 'd']) WHEN 'c' THEN regexp_extract(s, '^([0-9]{4})([0-9]{2})([0-9]{2})(.*)$', ['a', 'b', 'c', 'd'])
+    WHEN 'n' THEN regexp_extract(s, '^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]+)(.*)$', ['a', 'b', 'c', 'd']) WHEN 't' THEN regexp_extract(s, '^(?:[a-z]{3}, )?([0-9]{1,2}) (?:de )?([a-z]{3})[a-z]*\.? (?:de )?([0-9]{4})(.*)$', ['a', 'b', 'c', 'd'])
+    WHEN 'm' THEN regexp_extract(s, '^([a-z]{3})[a-z]* ([0-9]{1,2}), ([0-9]{4})(.*)$', ['a', 'b', 'c', 'd']) END AS p FROM k WHERE forma IS NOT NULL),
+d AS (
+  SELECT *, CASE forma WHEN 'i' THEN p.a || '-' || p.b || '-' || p.c WHEN 'c' THEN p.a || '-' || p.b || '-' || p.c
+    WHEN 'n' THEN CASE WHEN length(p.c) = 2 THEN '20' || p.c ELSE p.c END || '-' || CASE WHEN o = 'MDA' THEN p.a || '-' || p.b ELSE p.b || '-' || p.a END
+    ELSE p.c || '-' || (1 + (position(substr(CASE forma WHEN 't' THEN p.b ELSE p.a END, 1, 3) IN CASE WHEN regexp_matches(s, '(jan|apr|aug|dec)') THEN 'janfebmaraprmayjunjulaugsepoctnovdec' ELSE 'enefebmarabrmayjunjulagosepoctnovdic' END) - 1) // 3)
+      || '-' || CASE forma WHEN 't' THEN p.a ELSE p.b END END AS dia, coalesce(CASE WHEN forma = 'c' THEN regexp_replace(p.d, '^t([0-9]{2})([0-9]{2})([0-9]{2})', 't\1:\2:\3') ELSE p.d END, '') AS resto
+  FROM (SELECT * REPLACE (regexp_replace(s, '\bset(\.| |iembre)', 'sep\1') AS s, CASE WHEN p.b = 'set' THEN struct_pack(a := p.a, b := 'sep', c := p.c, d := p.d) WHEN p.a = 'set' THEN struct_pack(a := 'sep', b := p.b, c := p.c, d := p.d) ELSE p END AS p) FROM g)),
+h AS (
+  SELECT *, try_cast(dia AS date) AS f, regexp_extract(resto, '([0-9]{1,2})[:.]([0-9]{2})(?:[:.]([0-9]{2}))?(?:[.,][0-9]+)?(.*)$', ['hh', 'mm', 'ss', 'cola']) AS r FROM d),
+l AS (
+  SELECT *, coalesce(try_cast(r.hh AS int), 0) AS hora, coalesce(r.cola, '') AS cola FROM h WHERE forma = 'e' OR f IS NOT NULL),
+c AS (
+  SELECT *, f + to_seconds(CASE WHEN regexp_matches(cola, '^ ?p\.? ?m') THEN hora % 12 + 12 WHEN regexp_matches(cola, '^ ?a\.? ?m\.?$') THEN hora % 12 ELSE hora END * 3600
+    + coalesce(try_cast(r.mm AS int), 0) * 60 + coalesce(try_cast(nullif(r.ss, '') AS int), 0)) AS reloj,
+    CASE WHEN regexp_matches(cola, '^ ?[-+][0-9]{2}:?[0-9]{2}') THEN CASE WHEN cola LIKE '%-%' AND regexp_matches(cola, '^ ?-') THEN -1 ELSE 1 END * (CAST(regexp_extract(cola, '^ ?[-+]([0-9]{2})', 1) AS int) * 3600 + CAST(regexp_extract(cola, '^ ?[-+][0-9]{2}:?([0-9]{2})', 1) AS int) * 60)
+      WHEN regexp_matches(cola, 'gmt[-+][0-9]+$') THEN CAST(regexp_extract(cola, 'gmt([-+][0-9]+)$', 1) AS int) * 3600
+      WHEN regexp_matches(cola, '^ ?(z|utc|gmt)$') THEN 0 WHEN cola = ' pet' THEN -18000 WHEN cola = ' clt' THEN -14400 WHEN cola = ' clst' THEN -10800 WHEN cola = ' est' THEN -18000 WHEN cola = ' edt' THEN -14400
+      WHEN cola = ' cet' THEN 3600 WHEN cola = ' cest' THEN 7200 END AS desfase, coalesce(nullif(regexp_extract(raw, '([A-Z][a-z]+/[A-Za-z_]+)', 1), ''), z) AS zona FROM l),
+u AS (SELECT *, timezone(zona, reloj) AS w FROM c WHERE forma <> 'e' AND desfase IS NULL)
+SELECT anuncio_id, campo, CAST(substr(s, 1, 10) AS bigint) AS segundos_utc FROM c WHERE forma = 'e'
+UNION ALL SELECT anuncio_id, campo, CAST(epoch(reloj) AS bigint) - desfase FROM c WHERE forma <> 'e' AND desfase IS NOT NULL
+UNION ALL SELECT anuncio_id, campo, CAST(epoch(CASE WHEN timezone(zona, w - INTERVAL 1 HOUR) = reloj THEN w - INTERVAL 1 HOUR ELSE w END) AS bigint) FROM u
+"""
+
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
-ORACLES = {"p1_found": P1_SQL, "p5_found": P5_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL}
