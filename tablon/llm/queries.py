@@ -14,6 +14,7 @@ from tablon.llm.mixture import counted, mix_sources, tempered
 from tablon.llm.nearest import nearest_in_time
 from tablon.llm.tokens import count_tokens, encode_texts
 from tablon.operators.instants import normal_instants
+from tablon.plans.training_queries import P2_SQL
 from tablon.sources.tables import table
 
 
@@ -85,6 +86,16 @@ reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON
 SELECT a AS anuncio_id, least(a, min(b)) AS grupo_id FROM reach GROUP BY a
 """
 
+P6_SQL = f"""
+WITH p AS ({P2_SQL}), l AS (
+  SELECT DISTINCT p.anuncio_id, a.serie_tc, make_timestamp(p.segundos_utc * 1000000) AS t FROM p JOIN anuncios a USING (anuncio_id) WHERE campo = 'fecha_publicacion' AND serie_tc IS NOT NULL),
+n AS (
+  SELECT l.anuncio_id, q.tc_id, epoch_us(l.t) - epoch_us(q.fecha) AS gap FROM l ASOF JOIN tipo_cambio_bcrp q ON l.serie_tc = q.series_codigos AND l.t >= q.fecha
+  UNION ALL SELECT l.anuncio_id, q.tc_id, epoch_us(q.fecha) - epoch_us(l.t) FROM l ASOF JOIN tipo_cambio_bcrp q ON l.serie_tc = q.series_codigos AND l.t <= q.fecha)
+SELECT anuncio_id, arg_min(tc_id, gap) AS tc_id FROM n WHERE gap <= 43200000000 GROUP BY anuncio_id
+"""
+
+
 def _p10_sql() -> str:
     """The forms of texts with the functions that SQL has: signs dropped or translated one by one, then NFC."""
     wide = range(0xFF01, 0xFF5F)
@@ -115,4 +126,4 @@ QUERIES = {
     "p9_temperatura": p9_temperatura,
     "p10_found": p10_found,
 }
-ORACLES = {"p4_found": P4_SQL, "p10_found": _p10_sql()}
+ORACLES = {"p4_found": P4_SQL, "p6_found": P6_SQL, "p10_found": _p10_sql()}
