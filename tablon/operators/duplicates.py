@@ -59,9 +59,14 @@ def similar_pairs(
     if not python:
         return pairs.where((F.col("e1") == F.col("e2")) & ((F.col("t1") == F.col("t2")) | shares)).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     bound = lambda x, y: 2 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y))
-    pairs = pairs.where((bound("e1", "e2") >= entity_least) & (shares | (bound("t1", "t2") >= title_least)))
-    alike = (sequence_ratio("e1", "e2") >= entity_least) & (shares | (sequence_ratio("t1", "t2") >= title_least))
-    return pairs.where(alike).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    near = pairs.where((bound("e1", "e2") >= entity_least) & (shares | (bound("t1", "t2") >= title_least)))
+    near = near.select("e1", "e2", "t1", "t2", F.col("id1").alias("a"), F.col("id2").alias("b"), shares.alias("shares"))
+    # Ratios are worked out once for each two different texts, not for each pair of rows.
+    texts = lambda x, y: cut_lineage(near.select(x, y).distinct())
+    entities = texts("e1", "e2").select("e1", "e2", sequence_ratio("e1", "e2").alias("re"))
+    titles = texts("t1", "t2").select("t1", "t2", sequence_ratio("t1", "t2").alias("rt"))
+    alike = near.join(cut_lineage(entities), ["e1", "e2"]).where(F.col("re") >= entity_least).join(cut_lineage(titles), ["t1", "t2"])
+    return alike.where(F.col("shares") | (F.col("rt") >= title_least)).select("a", "b")
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
