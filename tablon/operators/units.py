@@ -95,11 +95,13 @@ class UnitGraph:
 
 
 def convert(df: DataFrame, table: DataFrame, value: str, unit: str, out: str, out_unit: str) -> DataFrame:
-    """Adds ``out`` (decimal(28,12)) and ``out_unit``: ``value`` in the canonical unit of its unit.
+    """Adds ``out`` (decimal(38,12)) and ``out_unit``: ``value`` in the canonical unit of its unit.
 
     An equi-join on the unit; the table is broadcast, since it has a row per unit of the
     graph. An unknown or null unit and a null value give nulls; no row is lost. A division
     by 0 gives null. Clashing column names don't matter: only the two new names are added.
+    Values may have 15 digits before the point. Divisions keep 10 decimals up to 16 digits
+    before the point on either side, beyond that 6.
     """
     t = F.broadcast(
         table.select(
@@ -107,14 +109,19 @@ def convert(df: DataFrame, table: DataFrame, value: str, unit: str, out: str, ou
             *[F.col(x).alias(f"__{x}") for x in "abcd"],
         )
     )
-    x = F.col(value).cast("decimal(18,9)")
-    top = (x * F.col("__a") + F.col("__b")).cast("decimal(28,12)")
-    below = (x * F.col("__c") + F.col("__d")).cast("decimal(28,12)")
+    x = F.col(value).cast("decimal(24,9)")
+    top = (x * F.col("__a") + F.col("__b")).cast("decimal(38,12)")
+    below = (x * F.col("__c") + F.col("__d")).cast("decimal(38,12)")
+    # The quotient of two wide decimals has few decimals, so narrow ones come first.
+    ratio = F.coalesce(
+        F.try_divide(top.try_cast("decimal(28,12)"), below.try_cast("decimal(28,12)")).cast("decimal(38,12)"),
+        F.try_divide(top, below).cast("decimal(38,12)"),
+    )
     joined = df.join(t, df[unit] == t["__unit"], "left")
-    exact = F.when(F.col("__c") == 0, F.try_divide(top, F.col("__d"))).otherwise(F.try_divide(top, below))
+    exact = F.when((F.col("__c") == 0) & (F.col("__d") == 1), top).otherwise(ratio)
     return joined.select(
         *[df[c] for c in df.columns if c not in (out, out_unit)],
-        exact.cast("decimal(28,12)").alias(out), F.col("__target").alias(out_unit),
+        exact.cast("decimal(38,12)").alias(out), F.col("__target").alias(out_unit),
     )
 
 
@@ -220,7 +227,7 @@ def _words_value(plain: Column) -> Column:
         return F.when(w.isin("millon", "millones"), million).when(w == "mil", thousand).otherwise(plus)
 
     value = F.aggregate(known, start, step, lambda acc: acc["total"] + acc["part"])
-    return F.when(F.size(known) > 0, value.cast("decimal(18,6)"))
+    return F.when(F.size(known) > 0, value.try_cast("decimal(18,6)"))
 
 
 def stated_amount(price: Column, money: Column) -> Column:
@@ -284,7 +291,7 @@ def amounts_in_soles(listings: DataFrame, runs: DataFrame, quotes: DataFrame) ->
     units = convert(stated, table, "amount", "unit", "importe", "en").where(F.col("importe").isNotNull())
     # Read three times below, so texts are parsed once.
     units = cut_lineage(units.select(
-        "anuncio_id", "serie_tc", "corrida_id", F.col("importe").try_cast("decimal(20,6)").alias("importe"), F.substring_index("en", " ", -1).alias("divisa")
+        "anuncio_id", "serie_tc", "corrida_id", F.col("importe").cast("decimal(24,6)").alias("importe"), F.substring_index("en", " ", -1).alias("divisa")
     ))
     local = units.where("divisa = 'PEN'").select("anuncio_id", F.col("importe").cast("decimal(38,10)").alias("x"))
     foreign = units.where("divisa <> 'PEN' and serie_tc is not null and corrida_id is not null")

@@ -56,6 +56,25 @@ class TestUnits:
         got = [tuple(r) for r in units.amounts_in_soles(listings, runs, quotes).collect()]
         assert got == ([(1, soles)] if soles is not None else [])
 
+    @pytest.mark.parametrize(
+        ("price", "money", "soles"),
+        [
+            ("1.200.000.000", "S/", 1200000000), ("CLP 1200 MM", None, 4800000), ("CLP 1.050.900.000", None, 4203600),
+            ("2.000.000.000", "céntimos de sol", 20000000), ("999.999.999.999", "S/ (millones)", 999999999999000000), ("un millón de millones", "soles", None),
+        ],
+    )
+    def test_large_amounts(self, spark, price, money, soles):
+        listings = spark.createDataFrame([(1, price, money, "T", 1)], "anuncio_id long, precio string, moneda string, serie_tc string, corrida_id long")
+        runs = spark.createDataFrame([(1, datetime(2026, 1, 5))], "corrida_id long, fecha timestamp_ntz")
+        quotes = spark.createDataFrame([(1, "T", datetime(2026, 1, 1), 4.0, "PEN por 1,000 CLP", None)], "tc_id long, series_codigos string, fecha timestamp_ntz, venta double, unidad string, nota string")
+        got = [tuple(r) for r in units.amounts_in_soles(listings, runs, quotes).collect()]
+        assert got == ([(1, soles)] if soles is not None else [])
+
+    def test_large_values_convert(self, spark):
+        table = units.UnitGraph([units.affine("kg", "g", 1000), units.reciprocal("1/g", "g")]).table(spark, ["g"])
+        df = spark.createDataFrame([(5e11, "kg"), (2e9, "1/g"), (0.004, "1/g")], "v double, u string")
+        assert [float(r["x"]) for r in units.convert(df, table, "v", "u", "x", "xu").collect()] == [5e14, 5e-10, 250.0]
+
     def test_rate_units(self, spark):
         said = ["PEN por 1,000 CLP", "céntimos por R$", "USD por 1 PEN", "soles por mil pesos chilenos", "S/. x €", "dólar por sol", "algo", None]
         df = spark.createDataFrame([(t,) for t in said], "t string")
