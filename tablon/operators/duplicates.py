@@ -19,6 +19,17 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_reaches(least: float):
+    """Whether ``sequence_ratio`` is at least ``least``; the count of shared letters, which it can't exceed, decides first."""
+
+    @F.pandas_udf(T.BooleanType())
+    def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+        m = (SequenceMatcher(None, x, y) for x, y in zip(a, b))
+        return pd.Series([x.quick_ratio() >= least and x.ratio() >= least for x in m], dtype="bool")
+
+    return reaches
+
+
 def closure(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``row, least``: every row of ``pairs`` and the least row that it is linked to through any number of them.
 
@@ -45,7 +56,8 @@ def similar_pairs(
     """``a, b`` (a < b): rows of one region and block whose entities are alike and whose titles are, or whose
     values match and titles share words. A block is a row's longest word of the entity. Rows of blank
     entity or title are in no pair. ``python=False`` asks for equal entities and leaves sequence
-    ratios out. Rows too short to reach a ratio are left out before any Python runs.
+    ratios out. Otherwise all rows of equal texts are one until the texts are decided, and texts too
+    short to reach a ratio are left out before any Python runs.
     """
     entity_text = token_sort(dedup_text(F.col(entity)))
     rows = df.select(
@@ -53,20 +65,29 @@ def similar_pairs(
         dedup_text(F.col(region)).alias("r"), (F.col(value) if value else F.lit(None)).cast("double").alias("v"),
     ).where("e <> '' and t <> ''")
     rows = cut_lineage(rows.withColumn("k", block_token(F.col("e"))))
-    a, b = (rows.select(*[F.col(c).alias(f"{c}{n}") for c in ("id", "e", "t", "v")], "r", "k") for n in (1, 2))
-    pairs = a.join(b, ["r", "k"]).where("id1 < id2")
-    shares = values_match(F.col("v1"), F.col("v2"), tolerance) & (token_containment(F.col("t1"), F.col("t2")) >= containment_least)
+    match = values_match(F.col("v1"), F.col("v2"), tolerance)
+    shares = token_containment(F.col("t1"), F.col("t2")) >= containment_least
     if not python:
-        return pairs.where((F.col("e1") == F.col("e2")) & ((F.col("t1") == F.col("t2")) | shares)).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+        a, b = (rows.select(*[F.col(c).alias(f"{c}{n}") for c in ("id", "e", "t", "v")], "r", "k") for n in (1, 2))
+        pairs = a.join(b, ["r", "k"]).where("id1 < id2 and e1 = e2")
+        return pairs.where((F.col("t1") == F.col("t2")) | (match & shares)).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     bound = lambda x, y: 2 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y))
-    near = pairs.where((bound("e1", "e2") >= entity_least) & (shares | (bound("t1", "t2") >= title_least)))
-    near = near.select("e1", "e2", "t1", "t2", F.col("id1").alias("a"), F.col("id2").alias("b"), shares.alias("shares"))
-    # Ratios are worked out once for each two different texts, not for each pair of rows.
-    texts = lambda x, y: cut_lineage(near.select(x, y).distinct())
-    entities = texts("e1", "e2").select("e1", "e2", sequence_ratio("e1", "e2").alias("re"))
-    titles = texts("t1", "t2").select("t1", "t2", sequence_ratio("t1", "t2").alias("rt"))
-    alike = near.join(cut_lineage(entities), ["e1", "e2"]).where(F.col("re") >= entity_least).join(cut_lineage(titles), ["t1", "t2"])
-    return alike.where(F.col("shares") | (F.col("rt") >= title_least)).select("a", "b")
+    spread = lambda x: cut_lineage(x.distinct().repartition(df.sparkSession.sparkContext.defaultParallelism))
+    # A ratio depends on the order of its texts, so both orders are decided, each once.
+    texts = cut_lineage(rows.select("r", "k", "e", "t").distinct().withColumn("c", F.monotonically_increasing_id()))
+    names = texts.select("r", "k", "e").distinct()
+    near = names.withColumnRenamed("e", "e1").join(names.withColumnRenamed("e", "e2"), ["r", "k"]).where(bound("e1", "e2") >= entity_least)
+    entities = cut_lineage(spread(near.select("e1", "e2")).where(ratio_reaches(entity_least)("e1", "e2")))
+    one, two = (texts.select("r", "k", *[F.col(c).alias(f"{c}{n}") for c in ("e", "t", "c")]) for n in (1, 2))
+    both = one.join(entities, "e1").join(two, ["r", "k", "e2"]).select("c1", "c2", "t1", "t2")
+    titles = spread(both.select("t1", "t2")).select("t1", "t2", shares.alias("shares"), (bound("t1", "t2") >= title_least).alias("maybe"))
+    decided = titles.where("maybe").select("t1", "t2", "shares", ratio_reaches(title_least)("t1", "t2").alias("like"))
+    titles = cut_lineage(decided.unionAll(titles.where("not maybe and shares").select("t1", "t2", "shares", F.lit(False).alias("like"))))
+    linked = both.join(titles.where("like or shares"), ["t1", "t2"]).select("c1", "c2", "like")
+    known = rows.join(texts, ["r", "k", "e", "t"]).select("id", "v", "c")
+    a, b = (known.toDF(f"id{n}", f"v{n}", f"c{n}") for n in (1, 2))
+    pairs = a.join(linked, "c1").join(b, "c2").where(F.col("id1") < F.col("id2")).where(F.col("like") | match)
+    return pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"))
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:

@@ -376,11 +376,9 @@ def q_dup_groups(s, d):
 
 @query()
 def q_similarity(s, d):
-    """Parts of one brand and type whose names have a like sequence of letters, between the first of equal
-    parts each."""
-    first = table(s, d, "part").groupBy("p_brand", "p_name", "p_type").agg(F.min("p_partkey").alias("p_partkey"), F.max("p_retailprice").alias("p_retailprice"))
-    rows = first.withColumn("zona", F.concat_ws(" ", "p_brand", "p_type"))
-    return duplicates.similar_pairs(rows, "p_partkey", "p_brand", "p_name", "zona", "p_retailprice")
+    """Parts of one type with like brands, whose names have a like sequence of letters or whose prices
+    match and names share words: every two parts."""
+    return duplicates.similar_pairs(table(s, d, "part"), "p_partkey", "p_brand", "p_name", "p_type", "p_retailprice")
 
 
 _HTML = """'<html><script id="__NEXT_DATA__" type="application/json">{"a": {"props": ' || props || ', "tipo": "' || event_type || '"}}</script></html>'"""

@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -154,6 +156,48 @@ def test_duplicate_groups(spark):
     assert duplicates.duplicate_groups(pairs.limit(0)).isEmpty()
 
 
+def signal(rows):
+    """Pairs of (id, entity, title, region, value), every two rows compared as the reference does."""
+    from difflib import SequenceMatcher
+
+    norm = lambda x: " ".join(re.sub("[^a-z0-9 ]", " ", (x or "").lower()).split())
+    sort = lambda x: " ".join(sorted(x.split()))
+    key = lambda e: max([w for w in e.split() if len(w) >= 3] or e.split(), key=len)
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    rows = sorted((i, norm(e), sort(norm(t)), norm(r), v) for i, e, t, r, v in rows if norm(e) and norm(t))
+    found = set()
+    for n, (i, e, t, r, v) in enumerate(rows):
+        for j, f, u, q, w in rows[n + 1 :]:
+            if r == q and key(e) == key(f) and ratio(sort(e), sort(f)) >= 0.80:
+                x, y = set(t.split()), set(u.split())
+                shared = len(x & y) / min(len(x), len(y)) >= 0.60 and v and w and v > 0 and w > 0 and abs(v - w) <= 0.05 * max(v, w)
+                if ratio(t, u) >= 0.82 or shared:
+                    found.add((i, j))
+    return found
+
+
+def test_similar_pairs_are_those_of_all_rows(spark):
+    draw = random.Random(5)
+    words = ["casa", "cassa", "patio", "patios", "amplio", "sol", "vista", "mar"]
+    rows = [
+        (i, f"Corredora {draw.choice(['13', '15', '24', 'Sol', 'Sal'])}", " ".join(draw.choices(words, k=draw.randint(1, 4))), draw.choice("xy"), draw.choice([100.0, 103.0, 120.0, 0.0, None]))
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(rows, "id int, e string, t string, r string, v double")
+    got = [tuple(r) for r in duplicates.similar_pairs(df, "id", "e", "t", "r", "v").collect()]
+    assert len(got) == len(set(got)) and set(got) == signal(rows)
+
+
+def test_q_similarity_rates_all_parts(spark, tmp_path):
+    from tablon.plans.reference_queries import QUERIES
+
+    # Copies; brands that are alike and ones that aren't; equal names in other price ranges.
+    rows = [(1, "Brand#13", "large ring", "T", 100.0), (2, "Brand#13", "large ring", "T", 100.0), (3, "Brand#15", "large ring", "T", 500.0), (4, "Brand#24", "large ring", "T", 100.0), (5, "Brand#13", "large ring", "U", 100.0), (6, "Brand#15", "small ring", "T", 100.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(r) for r in QUERIES["q_similarity"](spark, str(tmp_path)).collect()}
+    assert got == signal(rows) and {(1, 2), (1, 3), (2, 3)} <= got
+
+
 def test_closure_of_a_long_chain(spark):
     chain = spark.range(60).selectExpr("id + 100 as a", "id + 101 as b")
     assert {r["least"] for r in duplicates.closure(chain, "a", "b").collect()} == {100}
