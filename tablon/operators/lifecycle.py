@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablon.functions.identity import canonical_link
 from tablon.operators.accumulate import keep_last
+from tablon.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -49,53 +50,73 @@ def apply_run(state: DataFrame, batch: DataFrame, run: Run, policy: Policy, scop
     own, of which it saw under ``collapse_share``. An empty batch covers no scope here;
     callers pass ``batch`` rows of null link to cover one. Either side may be empty.
     """
-    covered = F.broadcast(batch.select(*scope).distinct())  # scopes of one run
-    new = prepared(batch, scope, order).withColumn("__in", F.lit(True))
+    about = {"at": run.at, "complete": run.complete, "quality": run.quality, "rerun": run.rerun}
+    runs = batch.select(*scope).distinct().select(*scope, *[F.lit(v).alias(k) for k, v in about.items()])
+    return apply_runs(state, batch, runs, policy, scope, order)
+
+
+def apply_runs(state: DataFrame, batch: DataFrame, runs: DataFrame, policy: Policy, scope: list[str], order: str | None = None) -> DataFrame:
+    """``apply_run`` for runs of several scopes at a time: ``runs`` (scope, at, complete, quality, rerun) has at
+    most one for each scope, which it covers with or without rows; ``batch`` has rows of these scopes."""
+    ran = F.broadcast(runs.select(  # scopes of one run each
+        *scope, F.col("at").cast("timestamp_ntz").alias("__at"), F.col("complete").alias("__complete"),
+        (~F.col("rerun") & ~F.coalesce(F.col("quality").isin("degradado", "degradada"), F.lit(False))).alias("__counts"),
+    ))
+    x, y = prepared(batch, scope, order).alias("x"), ran.select(*scope, "__at").alias("y")
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in scope]
+    new = x.join(y, same, "left").select("x.*", F.col("y.__at").alias("__at"), F.lit(True).alias("__in"))
     old = state.withColumn("__was", F.lit(True))
-    values = [c for c in new.columns if c not in (*scope, "enlace", "__in")]
+    values = [c for c in new.columns if c not in (*scope, "enlace", "__at", "__in")]
     a, b = old.alias("a"), new.alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*scope, "enlace")]
     seen, known = F.col("__in").isNotNull(), F.col("__was").isNotNull()
-    now = F.lit(run.at).cast("timestamp_ntz")
     pick = lambda c: F.when(seen, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}") if c in state.columns else F.lit(None))
     others = [c for c in state.columns if c not in (*scope, "enlace", *values, "primera_vez_visto", "ultima_vez_visto", "ausencias_consecutivas", "activo", "fecha_baja")]
     merged = a.join(b, on, "full").select(
         *[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in (*scope, "enlace")],
         *[pick(c).alias(c) for c in values], *[F.col(f"a.{c}").alias(c) for c in others],
-        F.coalesce(F.col("a.primera_vez_visto"), now).alias("primera_vez_visto"),
-        F.when(seen, now).otherwise(F.col("a.ultima_vez_visto")).alias("ultima_vez_visto"),
+        F.coalesce(F.col("a.primera_vez_visto"), F.col("b.__at")).alias("primera_vez_visto"),
+        F.when(seen, F.col("b.__at")).otherwise(F.col("a.ultima_vez_visto")).alias("ultima_vez_visto"),
         F.when(seen, 0).otherwise(F.col("a.ausencias_consecutivas")).alias("ausencias_consecutivas"),
         F.when(seen, True).otherwise(F.col("a.activo")).alias("activo"),
         F.when(~seen, F.col("a.fecha_baja")).alias("fecha_baja"),
         F.when(seen & known, "repetido").when(seen, "nuevo").alias("estado_anuncio"),
     )
-    if run.rerun or run.quality in ("degradado", "degradada"):
-        return merged
-    marked = merged.join(covered.withColumn("__covered", F.lit(True)), scope, "left")
-    missing = F.col("__covered") & F.col("activo") & F.col("estado_anuncio").isNull()
-    if run.complete:
-        sizes = marked.where("__covered and activo").groupBy(*scope).agg(F.count("*").alias("__base"), F.count("estado_anuncio").alias("__present"))
-        marked = marked.join(F.broadcast(sizes), scope, "left")  # scopes of one run
-        guard = (F.col("__base") >= policy.collapse_base) & (F.col("__present") < F.lit(policy.collapse_share) * F.col("__base"))
-        absent = F.coalesce(missing & ~guard, F.lit(False))
-        count = F.when(absent, F.col("ausencias_consecutivas") + 1).otherwise(F.col("ausencias_consecutivas"))
-        retired = absent & (count >= policy.absences)
-        marked = marked.withColumn("__count", count)
-    elif policy.stale_days:
-        limit = F.lit(run.at).cast("timestamp_ntz") - F.make_interval(days=F.lit(policy.stale_days))
-        marked = marked.withColumn("__count", F.col("ausencias_consecutivas"))
-        retired = F.coalesce(missing & (F.col("ultima_vez_visto") < limit), F.lit(False))
-    else:
-        return merged
-    done = marked.withColumn("__gone", retired)
+    marked = merged.join(ran, scope, "left")
+    sizes = marked.where("__counts and __complete and activo").groupBy(*scope).agg(F.count("*").alias("__base"), F.count("estado_anuncio").alias("__present"))
+    marked = marked.join(F.broadcast(sizes), scope, "left")  # scopes of one run each
+    missing = F.col("__counts") & F.col("activo") & F.col("estado_anuncio").isNull()
+    guard = (F.col("__base") >= policy.collapse_base) & (F.col("__present") < F.lit(policy.collapse_share) * F.col("__base"))
+    absent = F.coalesce(missing & F.col("__complete") & ~guard, F.lit(False))
+    count = F.when(absent, F.col("ausencias_consecutivas") + 1).otherwise(F.col("ausencias_consecutivas"))
+    limit = F.col("__at") - F.make_interval(days=F.lit(policy.stale_days))
+    stale = F.coalesce(missing & ~F.col("__complete") & (F.col("ultima_vez_visto") < limit), F.lit(False)) if policy.stale_days else F.lit(False)
+    done = marked.withColumns({"__count": count, "__gone": (absent & (count >= policy.absences)) | stale})
     return done.select(*[
         F.col("__count").alias(c) if c == "ausencias_consecutivas"
         else F.when(F.col("__gone"), False).otherwise(F.col(c)).alias(c) if c == "activo"
-        else F.when(F.col("__gone"), F.lit(run.at.date())).otherwise(F.col(c)).alias(c) if c == "fecha_baja"
+        else F.when(F.col("__gone"), F.col("__at").cast("date")).otherwise(F.col(c)).alias(c) if c == "fecha_baja"
         else F.col(c) for c in merged.columns
     ])
 
 
+def fold_runs(rows: DataFrame, runs: DataFrame, state: DataFrame, policy: Policy, scope: list[str], order: str | None = None) -> DataFrame:
+    """The state after all ``runs`` (corrida_id, scope, at, complete, quality, rerun), each scope's in order of time.
+    The first runs of all scopes are applied at once, then the second ones: as many rounds as the longest scope
+    has runs, each written to the checkpoint folder. ``estado_anuncio`` is of the scope's last run."""
+    numbered = cut_lineage(runs.withColumn("__n", F.row_number().over(Window.partitionBy(*scope).orderBy("at", "corrida_id"))))
+    last = numbered.agg(F.max("__n")).first()[0] or 0
+    state = state.withColumn("estado_anuncio", F.lit(None).cast("string"))
+    for n in range(1, last + 1):
+        now = numbered.where(F.col("__n") == n)
+        batch = rows.join(F.broadcast(now.select("corrida_id")), "corrida_id").drop("corrida_id")  # a run for each scope
+        after = apply_runs(state.withColumnRenamed("estado_anuncio", "__estado"), batch, now, policy, scope, order)
+        after = after.join(F.broadcast(now.select(*scope, F.lit(True).alias("__now"))), scope, "left")
+        kept = F.when(F.col("__now"), F.col("estado_anuncio")).otherwise(F.col("__estado"))
+        state = cut_lineage(after.withColumn("estado_anuncio", kept).drop("__estado", "__now"))
+    return state
+
+
 def closed_form(rows: DataFrame, runs: DataFrame, scope: list[str], absences: int) -> DataFrame:
     """``scope, enlace, primera, ultima, ausencias, activo`` after all runs at once, where every run is
     complete and no guard holds: absences are the runs of the scope since the link was last seen, up to

@@ -184,6 +184,7 @@ def q_sheet_merge(s, d):
 
 
 _SCOPE = ["portal", "tipo_operacion"]
+_STATE = "portal string, tipo_operacion string, enlace string, titulo string, precio double, primera_vez_visto timestamp_ntz, ultima_vez_visto timestamp_ntz, ausencias_consecutivas int, activo boolean, fecha_baja date"
 _RANKED = """n AS (SELECT corrida_id, portal, tipo_operacion, fecha, row_number() OVER (PARTITION BY portal, tipo_operacion ORDER BY fecha, corrida_id) AS n
   FROM corridas WHERE corrida_id IN (SELECT corrida_id FROM fotos_anuncios))"""
 
@@ -211,15 +212,50 @@ SELECT m.portal, m.tipo_operacion, enlace, titulo, CASE WHEN seen AND was THEN '
   CASE WHEN seen OR (base >= 20 AND presentes < 0.4 * base) OR presentes = 0 THEN 0 ELSE 1 END AS ausencias_consecutivas FROM m JOIN g USING (portal, tipo_operacion)""")
 def q_lifecycle_step(s, d):
     """The second snapshot of every scope applied to the first."""
-    schema = "portal string, tipo_operacion string, enlace string, titulo string, precio double, primera_vez_visto timestamp_ntz, ultima_vez_visto timestamp_ntz, ausencias_consecutivas int, activo boolean, fecha_baja date"
     policy = lifecycle.Policy()
-    state = s.createDataFrame([], schema)
+    state = s.createDataFrame([], _STATE)
     for n in (1, 2):
         rows = _seen(s, d, n).drop("corrida_id")
         state = lifecycle.apply_run(state.drop("estado_anuncio"), rows, lifecycle.Run(datetime(2026, 1, n)), policy, _SCOPE, "recibido_en")
     return state.select(*_SCOPE, "enlace", "titulo", "estado_anuncio", "ausencias_consecutivas")
 
 
+_RUNS_SQL = f"""
+WITH RECURSIVE k AS (SELECT corrida_id, portal, tipo_operacion, fecha, coalesce(listado_completo, true) AS completa, coalesce(estado_calidad IN ('degradado', 'degradada'), false) AS mala FROM corridas
+  QUALIFY id_fuente IS NULL OR row_number() OVER (PARTITION BY portal, tipo_operacion, id_fuente ORDER BY fecha, corrida_id) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY portal, tipo_operacion ORDER BY fecha, corrida_id) AS n FROM k),
+f AS (SELECT n.n, n.fecha, n.portal, n.tipo_operacion, {canon_sql('f.enlace')} AS enlace, titulo, precio FROM fotos_anuncios f JOIN n USING (corrida_id) WHERE {canon_sql('f.enlace')} <> ''
+  QUALIFY row_number() OVER (PARTITION BY corrida_id, {canon_sql('f.enlace')} ORDER BY recibido_en DESC) = 1),
+r AS (SELECT CAST(0 AS bigint) AS n, CAST(NULL AS varchar) AS portal, CAST(NULL AS varchar) AS tipo_operacion, CAST(NULL AS varchar) AS enlace, CAST(NULL AS varchar) AS titulo, CAST(NULL AS double) AS precio,
+    CAST(NULL AS timestamp) AS primera, CAST(NULL AS timestamp) AS ultima, 0 AS ausencias, false AS activo, CAST(NULL AS date) AS baja, CAST(NULL AS varchar) AS estado
+  UNION ALL
+  SELECT n, portal, tipo_operacion, enlace, titulo, precio, primera, ultima, CASE WHEN falta THEN ausencias + 1 ELSE ausencias END, activo AND NOT (falta AND ausencias + 1 >= 3),
+    CASE WHEN falta AND ausencias + 1 >= 3 THEN CAST(fecha AS date) ELSE baja END, estado
+  FROM (SELECT *, coalesce(cuenta AND activo AND NOT vista AND NOT (base >= 20 AND presentes < 0.4 * base), false) AS falta
+    FROM (SELECT m.*, c.fecha, c.completa AND NOT c.mala AS cuenta, CASE WHEN c.n IS NULL THEN antes ELSE ahora END AS estado,
+        count(*) FILTER (activo) OVER (PARTITION BY m.portal, m.tipo_operacion) AS base, count(*) FILTER (activo AND vista) OVER (PARTITION BY m.portal, m.tipo_operacion) AS presentes
+      FROM (SELECT (SELECT max(n) + 1 FROM r) AS n, coalesce(a.portal, b.portal) AS portal, coalesce(a.tipo_operacion, b.tipo_operacion) AS tipo_operacion, coalesce(a.enlace, b.enlace) AS enlace,
+          b.n IS NOT NULL AS vista, CASE WHEN b.n IS NULL THEN a.titulo ELSE b.titulo END AS titulo, CASE WHEN b.n IS NULL THEN a.precio ELSE b.precio END AS precio,
+          coalesce(a.primera, b.fecha) AS primera, coalesce(b.fecha, a.ultima) AS ultima, CASE WHEN b.n IS NULL THEN a.ausencias ELSE 0 END AS ausencias, b.n IS NOT NULL OR a.activo AS activo,
+          CASE WHEN b.n IS NULL THEN a.baja END AS baja, a.estado AS antes, CASE WHEN b.n IS NOT NULL AND a.n IS NOT NULL THEN 'repetido' WHEN b.n IS NOT NULL THEN 'nuevo' END AS ahora
+        FROM r a FULL JOIN (SELECT * FROM f WHERE n = (SELECT max(n) + 1 FROM r)) b ON a.portal = b.portal AND a.tipo_operacion = b.tipo_operacion AND a.enlace = b.enlace
+      ) m LEFT JOIN n c ON c.portal = m.portal AND c.tipo_operacion = m.tipo_operacion AND c.n = m.n))
+  WHERE n <= (SELECT max(n) FROM n))
+SELECT portal, tipo_operacion, enlace, titulo, precio, primera AS primera_vez_visto, ultima AS ultima_vez_visto, ausencias AS ausencias_consecutivas, activo, baja AS fecha_baja, estado AS estado_anuncio
+FROM r WHERE enlace IS NOT NULL AND n = (SELECT max(n) FROM n)"""
+
+
+@query(_RUNS_SQL)
+def q_lifecycle_runs(s, d):
+    """All runs of every scope, one after another: the state at the end. A source id that a scope has had
+    changes nothing again; an unstated listado_completo is true, the reference's default."""
+    again = F.row_number().over(Window.partitionBy(*_SCOPE, "id_fuente").orderBy("fecha", "corrida_id"))
+    first = table(s, d, "corridas").withColumn("k", again).where("id_fuente is null or k = 1")
+    runs = first.select("corrida_id", *_SCOPE, F.col("fecha").alias("at"), F.coalesce("listado_completo", F.lit(True)).alias("complete"), F.col("estado_calidad").alias("quality"), F.lit(False).alias("rerun"))
+    rows = table(s, d, "fotos_anuncios").select("corrida_id", *_SCOPE, "enlace", "titulo", "precio", "recibido_en")
+    return lifecycle.fold_runs(rows, runs, s.createDataFrame([], _STATE), lifecycle.Policy(), _SCOPE, "recibido_en")
+
+
 @query(f"""
 WITH {_RANKED}, t AS (SELECT portal, tipo_operacion, max(n) AS total FROM n GROUP BY ALL),
 x AS (SELECT n.portal, n.tipo_operacion, {canon_sql('f.enlace')} AS enlace, min(n.fecha) AS primera, max(n.fecha) AS ultima, max(n.n) AS last

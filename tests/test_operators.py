@@ -70,6 +70,35 @@ class TestLifecycle:
         got = self.run(spark, [["h/1", "h/2"], ["h/1"]], lifecycle.Policy(stale_days=30), runs)
         assert (got["h/2"]["activo"], got["h/2"]["ausencias_consecutivas"]) == (False, 0) and got["h/1"]["activo"]
 
+    def test_all_runs_of_every_scope(self, spark, tmp_path):
+        from tablon.plans.reference_queries import QUERIES
+
+        many = [f"h/{i}" for i in range(20)]
+        seen = {
+            "p": [["h/1", "h/2", "h/3"], ["h/1", "h/2"], ["h/1", "h/2"], ["h/1"], ["h/1", "h/3"]],  # h/3 is retired by run 4 and comes back; h/2 is away twice
+            "q": [["h/1", "h/2"], ["h/1"], ["h/1"], ["h/1"]],
+            "r": [many, ["h/0"], many[:9], many[:9], many[:9]],  # run 2 is a collapse
+            "s": [["h/1", "h/2"], ["h/1"], [], ["h/1"], ["h/1"]],  # run 2 is partial, run 3 delivers nothing, run 5 has run 4's source
+        }
+        runs, rows = [], []
+        for k, (portal, lists) in enumerate(seen.items()):
+            for n, links in enumerate(lists, 1):
+                run = 10 * n + k  # scopes' runs alternate
+                source = "s4" if (portal, n) == ("s", 5) else f"{portal}{n}"
+                runs.append((run, at(n, k), portal, "v", source, (portal, n) != ("s", 2), "ok"))
+                rows += [(run, portal, "v", e, f"t{n}", 1.0, at(n, k)) for e in links]
+        spark.createDataFrame(runs, "corrida_id long, fecha timestamp_ntz, portal string, tipo_operacion string, id_fuente string, listado_completo boolean, estado_calidad string").write.parquet(f"{tmp_path}/corridas.parquet")
+        spark.createDataFrame(rows, "corrida_id long, portal string, tipo_operacion string, enlace string, titulo string, precio double, recibido_en timestamp_ntz").write.parquet(f"{tmp_path}/fotos_anuncios.parquet")
+        got = {(r["portal"], r["enlace"]): r for r in QUERIES["q_lifecycle_runs"](spark, str(tmp_path)).collect()}
+        state = lambda *k: tuple(got[k][c] for c in ("ausencias_consecutivas", "activo", "fecha_baja", "estado_anuncio"))
+        assert len(got) == 3 + 2 + 20 + 2
+        assert state("p", "h/1") == (0, True, None, "repetido") and state("p", "h/3") == (0, True, None, "repetido")
+        assert state("p", "h/2") == (2, True, None, None)
+        assert state("q", "h/2") == (3, False, at(4).date(), None) and state("q", "h/1") == (0, True, None, "repetido")
+        assert state("r", "h/8") == (0, True, None, "repetido") and state("r", "h/9") == (3, False, at(5).date(), None)
+        assert state("s", "h/2") == (2, True, None, None) and state("s", "h/1") == (0, True, None, "repetido")
+        assert (got["p", "h/3"]["primera_vez_visto"], got["p", "h/3"]["ultima_vez_visto"], got["p", "h/3"]["titulo"]) == (at(1), at(5), "t5")
+
     def test_known_run(self, spark):
         log = spark.createDataFrame([("x1", "p", None)], "id_fuente string, portal string, tipo_operacion string")
         assert lifecycle.known_run(log, "x1", {"portal": "p", "tipo_operacion": None})
