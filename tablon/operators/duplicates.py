@@ -54,17 +54,17 @@ def similar_pairs(
     entity_least: float = 0.80, title_least: float = 0.82, containment_least: float = 0.60, tolerance: float = 0.05, python: bool = True,
 ) -> DataFrame:
     """``a, b`` (a < b): rows of one region and block whose entities are alike and whose titles are, or whose
-    values match and titles share words. A block is a row's longest word of the entity. Rows of blank
+    values match and titles share words. A block is a row's first longest word of the entity. Rows of blank
     entity or title are in no pair. ``python=False`` asks for equal entities and leaves sequence
     ratios out. Otherwise all rows of equal texts are one until the texts are decided, and texts too
     short to reach a ratio are left out before any Python runs.
     """
     entity_text = token_sort(dedup_text(F.col(entity)))
     rows = df.select(
-        F.col(ident).alias("id"), entity_text.alias("e"), token_sort(dedup_text(F.col(title))).alias("t"),
+        F.col(ident).alias("id"), entity_text.alias("e"), block_token(dedup_text(F.col(entity))).alias("k"), token_sort(dedup_text(F.col(title))).alias("t"),
         dedup_text(F.col(region)).alias("r"), (F.col(value) if value else F.lit(None)).cast("double").alias("v"),
     ).where("e <> '' and t <> ''")
-    rows = cut_lineage(rows.withColumn("k", block_token(F.col("e"))))
+    rows = cut_lineage(rows)
     match = values_match(F.col("v1"), F.col("v2"), tolerance)
     shares = token_containment(F.col("t1"), F.col("t2")) >= containment_least
     if not python:

@@ -410,6 +410,12 @@ def q_dup_groups(s, d):
     return duplicates.duplicate_groups(pairs)
 
 
+@query()
+def q_dup_signal_groups(s, d):
+    """Groups of parts by the full signal: like brands, and like names or matching prices and shared words."""
+    return duplicates.duplicate_groups(q_similarity(s, d))
+
+
 @query()
 def q_similarity(s, d):
     """Parts of one type with like brands, whose names have a like sequence of letters or whose prices

@@ -217,6 +217,32 @@ def test_similar_pairs_are_those_of_all_rows(spark):
     assert len(got) == len(set(got)) and set(got) == signal(rows)
 
 
+def test_blocks_are_by_the_first_longest_word(spark):
+    rows = [(1, "sol mar uno dos", "casa", "z", None), (2, "sol mal uno dos", "casa", "z", None), (3, "uno sol mar dos", "casa", "z", None), (4, "dos uno sol abc", "casa", "z", None), (5, "dos uno sol mar", "casa", "z", None)]
+    df = spark.createDataFrame(rows, "id int, e string, t string, r string, v double")
+    assert {tuple(r) for r in duplicates.similar_pairs(df, "id", "e", "t", "r", "v").collect()} == signal(rows) != set()
+
+
+def test_groups_by_the_full_signal(spark, tmp_path):
+    from tablon.plans.reference_queries import QUERIES
+
+    draw = random.Random(6)
+    rows = [
+        (i, f"Brand#{draw.choice([13, 15, 24, 46])}", f"{draw.choice(['large', 'larger', 'small', 'red'])} {draw.choice(['ring', 'rings', 'bolt', 'plate', 'gizmo'])}", draw.choice("TUVWXYZ"), draw.choice([100.0, 103.0, 500.0]))
+        for i in range(90)
+    ]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    root = list(range(90))
+    for a, b in signal(rows):
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    roots = sorted({r for r in root if root.count(r) > 1})
+    want = {(i, roots.index(r) + 1, root.count(r)) for i, r in enumerate(root) if r in roots}
+    full = {tuple(r) for r in QUERIES["q_dup_signal_groups"](spark, str(tmp_path)).select("id", "dup_grupo", "miembros").collect()}
+    reduced = {tuple(r) for r in QUERIES["q_dup_groups"](spark, str(tmp_path)).select("id", "dup_grupo", "miembros").collect()}
+    assert full == want and len(roots) > 5 and full != reduced
+
+
 def test_q_similarity_rates_all_parts(spark, tmp_path):
     from tablon.plans.reference_queries import QUERIES
 
