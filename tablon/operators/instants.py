@@ -105,7 +105,7 @@ _TIME = (
     r"(?P<hour2>99)(?P<minute2>99)(?P<second2>99)"
 )
 _ZONE = (
-    r"(?: ?(?P<sign>[-+])(?P<zh>99):?(?P<zm>99))? ?\[?(?P<zone>aa+(?:[/_-][a_]+)+)\]?|"
+    r"(?: ?(?P<sign>[-+])(?P<zh>99):?(?P<zm>99))? ?\[?(?P<zone>aa+[/_-][a_]+(?:[/-][a_]+)*)\]?|"
     r" ?(?P<sign2>[-+])(?P<zh2>99)(?::?(?P<zm2>99))?|"
     r" ?(?P<abbr>aaa+)(?:(?P<sign3>[-+])(?P<zh3>9{1,2}))?| ?(?P<letter>a)"
 )
@@ -254,7 +254,7 @@ def parse_instants(texts: Iterable, zones: Iterable, orders: Iterable) -> tuple[
             by_mask.setdefault(t.translate(_TO_MASK), []).append(i)
     out, valid = np.zeros(len(plain), np.int64), np.zeros(len(plain), bool)
     for mask, rows in by_mask.items():
-        fields = parser_of(mask) if len(mask) <= 80 else None
+        fields = (parser_of if len(mask) <= 80 else parser_of.__wrapped__)(mask)  # long masks aren't kept
         if fields is not None:
             at = np.array(rows)
             out[at], valid[at] = _parse_group([plain[i] for i in rows], fields, zone[at], order[at])
@@ -284,7 +284,7 @@ def normal_instants(
 
     ``sources`` (``portal, zona_horaria, orden_fecha``) gives the zone for texts without one and
     the order of dates in figures; a row of unknown or null source gets instants only from texts
-    that need neither. Blank and very long texts give null. Row number, ties and other columns
+    that need neither. Blank texts give null. Row number, ties and other columns
     stay as they are.
     """
     parse = instant_micros(zone_version())

@@ -98,6 +98,12 @@ def utc(*args):
     return int((datetime(*args) - datetime(1970, 1, 1)).total_seconds())
 
 
+def test_long_texts_are_tried():
+    long = "miércoles, 17 de setiembre de 2025, 03:04:05." + "123456789" * 4 + " p. m. -05:00 [America/Argentina/Buenos_Aires]"
+    assert len(long) > 80 and seconds(long) == seconds("2025-09-17 15:04:05 -05:00") is not None
+    assert seconds("17 de setiembre de 2025" + " y más" * 50_000) is None and seconds("2025-09-17 15:04 aa" + "_a" * 5_000 + "!") is None
+
+
 class TestInstants:
     @pytest.mark.parametrize(
         ("text", "at"),
