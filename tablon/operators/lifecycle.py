@@ -140,12 +140,16 @@ def known_run(runs: DataFrame, source_id: str, scope: dict[str, str | None]) ->
     return not runs.where(same).limit(1).isEmpty()
 
 
-def run_statistics(before: DataFrame, after: DataFrame, batch_rows: int) -> DataFrame:
-    """One row of counts: seen, new, repeated, dropped repeats, newly absent, retired."""
-    a = after.agg(
-        F.count("estado_anuncio").alias("total"), F.count_if(F.col("estado_anuncio") == "nuevo").alias("nuevos"),
-        F.count_if(F.col("estado_anuncio") == "repetido").alias("repetidos"),
-        F.sum("ausencias_consecutivas").alias("__abs"), F.count_if(~F.col("activo")).alias("__out"),
+def run_statistics(before: DataFrame, after: DataFrame, scope: list[str], batch_rows: int | None = None) -> DataFrame:
+    """One row of counts: seen, new, repeated, dropped repeats (of ``batch_rows``, if given), newly absent
+    (with the retired ones), retired. ``before`` and ``after`` are the state before and after a run."""
+    keys = [*scope, "enlace"]
+    a, b = after.alias("a"), before.select(*keys, "ausencias_consecutivas", "activo").alias("b")
+    both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left")
+    retired = F.col("b.activo") & ~F.col("a.activo")
+    return both.agg(
+        F.count("a.estado_anuncio").alias("total"), F.count_if(F.col("a.estado_anuncio") == "nuevo").alias("nuevos"),
+        F.count_if(F.col("a.estado_anuncio") == "repetido").alias("repetidos"),
+        (F.lit(batch_rows).cast("bigint") - F.count("a.estado_anuncio")).alias("descartados"),
+        F.count_if(retired | (F.col("a.ausencias_consecutivas") > F.col("b.ausencias_consecutivas"))).alias("desaparecidos"), F.count_if(retired).alias("bajas"),
     )
-    b = before.agg(F.count_if(~F.col("activo")).alias("__out0"))
-    return a.crossJoin(b).select("total", "nuevos", "repetidos", (F.lit(batch_rows) - F.col("total")).alias("descartados"), (F.col("__out") - F.col("__out0")).alias("bajas_netas"))  # one row each

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablon.functions.dates import with_periods
 from tablon.functions.identity import publication_id
 from tablon.functions.text import content_hash
-from tablon.operators.lifecycle import Policy, Run, apply_run, known_run
+from tablon.operators.lifecycle import Policy, Run, apply_run, known_run, run_statistics
 from tablon.operators.quality import quality_gate
 from tablon.operators.validate import quarantine
 from tablon.session import cut_lineage
@@ -71,9 +71,10 @@ def process_run(raw: DataFrame, request: RunRequest, state: VersionedTable, log:
     if not bad.limit(1).isEmpty():
         bad.write.mode("overwrite").parquet(f"{degraded_path}/errores={request.corrida_id}")
     rows = good.select(*SCOPE, "enlace", *columns, *([order] if order else []))
-    after = cut_lineage(apply_run(state.read(), rows, Run(request.at, request.complete, verdict, again), policy, SCOPE, order))
-    counts = after.agg(F.count("estado_anuncio").alias("n_total"), F.count_if(F.col("estado_anuncio") == "nuevo").alias("n_nuevos"), F.count_if(F.col("estado_anuncio") == "repetido").alias("n_repetidos"))
+    before = state.read()
+    after = cut_lineage(apply_run(before, rows, Run(request.at, request.complete, verdict, again), policy, SCOPE, order))
+    counts = cut_lineage(run_statistics(before, after, SCOPE))
     state.write(after.drop("estado_anuncio"))
     entry = {"corrida_id": request.corrida_id, "fecha": request.at, **scope, "id_fuente": request.source_id, "listado_completo": request.complete, "estado_calidad": verdict}
-    append_log(counts.select(*[F.lit(v).alias(k) for k, v in entry.items()], "n_total", "n_nuevos", "n_repetidos"), log_path)
+    append_log(counts.select(*[F.lit(v).alias(k) for k, v in entry.items()], *[F.col(c).alias(f"n_{c}") for c in ("total", "nuevos", "repetidos", "desaparecidos")]), log_path)
     return verdict

@@ -92,6 +92,18 @@ def test_a_run_from_raw_to_state(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad" / "corrida=4")).count() == 2
 
 
+def test_the_log_counts_the_newly_absent(spark, tmp_path):
+    state = VersionedTable(spark, str(tmp_path / "state"), schema(spark, "sector string, " + STATE))
+    log_ddl = schema(spark, "corrida_id long, sector string, portal string, tipo_operacion string, id_fuente string, n_total long, n_nuevos long, n_repetidos long, n_desaparecidos long")
+    for n, links in enumerate([["h/1", "h/2", "h/3"], ["h/1", "h/2"], ["h/1"], ["h/1", "h/3"], ["h/1"]], 1):
+        rows = spark.createDataFrame([(e, "t") for e in links], "enlace string, titulo string")
+        log = read_log(spark, str(tmp_path / "log"), log_ddl)
+        process_run(rows, RunRequest(datetime(2026, 5, n), n, f"x{n}", "s", "p", "v", complete=n < 5), state, log, str(tmp_path / "log"), str(tmp_path / "bad"), Policy(absences=2), ["titulo"])
+    # Run 3: h/3 is retired, h/2 is away once. Run 4: h/2 is retired, h/3 is back. Run 5 is partial.
+    log = read_log(spark, str(tmp_path / "log"), log_ddl).collect()
+    assert [(r["n_total"], r["n_nuevos"], r["n_repetidos"], r["n_desaparecidos"]) for r in reversed(log)] == [(3, 3, 0, 0), (2, 0, 2, 1), (1, 0, 1, 2), (2, 0, 2, 1), (1, 0, 1, 0)]
+
+
 def test_rate_series(spark):
     text = '{"periods": [{"name": "16.May.26", "values": ["3.7", "3,8"]}, {"name": "17/05/2026", "values": ["n.d.", "3.9"]}, {"name": "2026-05-18", "values": ["3.6", "3.75"]}, {"name": "x", "values": ["1", "2"]}]} junk'
     df = spark.createDataFrame([(text,), (None,), ("nada",)], "t string")
