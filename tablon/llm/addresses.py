@@ -272,18 +272,19 @@ def place_ids(resolved: DataFrame) -> DataFrame:
     """``id, place_id``: one identifier for each building or lot.
 
     Addresses of unknown locality get that in which their name and place are known, if it is only one.
-    Names of one place that are spellings of each other become one: within (locality, number) those
-    that share a word are compared by edits and joined to clusters through connected components. Stages (I, II) keep names apart.
+    Names of one place that are spellings of each other become one: within (locality, number) all of
+    them are compared by edits and joined to clusters through connected components. Stages (I, II) keep names apart.
     """
     known = resolved.where("locality is not null")
     single = known.groupBy("name", "place").agg(F.min("locality").alias("a"), F.max("locality").alias("b")).where("a = b").select("name", "place", F.col("a").alias("found"))
     lost = resolved.where("locality is null").join(single, ["name", "place"], "left")
     rows = cut_lineage(known.unionByName(lost.select("id", F.coalesce("found", F.lit(0)).alias("locality"), "name", "place")))
     keys = rows.select("locality", "place", "name").distinct()
-    # Spellings of one name share a word at least, now that words are corrected.
-    words = keys.select("*", F.regexp_extract("name", r"\b(i+v?|iv)\b", 1).alias("stage"), F.explode(F.split("name", " ")).alias("word")).where(F.length("word") >= 4)
-    pairs = words.join(words.withColumnRenamed("name", "other"), ["locality", "place", "stage", "word"]).where("name < other")
-    pairs = pairs.select("locality", "place", "name", "other").distinct()
+    staged = keys.select("*", F.regexp_extract("name", r"\b(i+v?|iv)\b", 1).alias("stage"))
+    pairs = staged.join(staged.withColumnRenamed("name", "other"), ["locality", "place", "stage"]).where("name < other")
+    # There are as many edits at least as the lengths differ by.
+    length = [F.length("name"), F.length("other")]
+    pairs = pairs.where(F.least(*length) >= SAME_SPELLING * F.greatest(*length) - 1e-9).select("locality", "place", "name", "other")
     same = pairs.where(unedited_share(F.col("name"), F.col("other")) >= SAME_SPELLING)
     key = lambda n: F.struct("locality", "place", F.col(n).alias("name"))
     clusters = connected_components(same.select(key("name").alias("a"), key("other").alias("b")), "a", "b")

@@ -283,3 +283,10 @@ def test_checkpoints_go_to_the_session_folder(spark):
     components.connected_components(spark.createDataFrame([(1, 2)], "a long, b long"), "a", "b")
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     assert not any("localCheckpoint" in open(os.path.join(d, f)).read() for d, _, fs in os.walk(os.path.dirname(addresses.__file__)) for f in fs if f.endswith(".py"))
+
+
+def test_spellings_meet_without_a_common_word(spark):
+    rows = [(1, 5, "marañon", "120"), (2, 5, "marañoz", "120"), (3, 5, "rio ene sur", "7"), (4, 5, "rio ane zur", "7"), (5, 6, "maraňoz", "120")]
+    resolved = spark.createDataFrame(rows, "id long, locality long, name string, place string")
+    got = {r["id"]: r["place_id"] for r in addresses.place_ids(resolved).collect()}
+    assert got[1] == got[2] != got[5] and got[3] == got[4]
