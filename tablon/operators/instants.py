@@ -24,29 +24,54 @@ MONTHS = {
     "ene": 1, "jan": 1, "feb": 2, "mar": 3, "abr": 4, "apr": 4, "may": 5, "jun": 6, "jul": 7,
     "ago": 8, "aug": 8, "sep": 9, "set": 9, "oct": 10, "nov": 11, "dic": 12, "dec": 12,
 }
-# Hours from UTC of zone abbreviations, for the zones that use them.
+# Hours from UTC of zone abbreviations that mean one thing wherever they are read. Others
+# ("CST", "IST", "BST") mean something only within a zone.
 ABBREVIATIONS = {
-    "utc": 0, "gmt": 0, "z": 0, "pet": -5, "clt": -4, "clst": -3, "est": -5, "edt": -4, "cst": -6,
-    "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7, "cet": 1, "cest": 2, "wet": 0, "west": 1,
-    "bst": 1, "brt": -3, "art": -3, "bot": -4, "cot": -5, "ect": -5,
+    "utc": 0, "gmt": 0, "z": 0, "pet": -5, "clt": -4, "clst": -3, "est": -5, "edt": -4, "mdt": -6, "pst": -8, "pdt": -7,
+    "cet": 1, "cest": 2, "wet": 0, "west": 1, "brt": -3, "art": -3, "bot": -4, "cot": -5,
 }
-FIRST_DAY, LAST_DAY = 0, 365 * 130 + 32  # zone tables run from 1970 to 2099
+# Names that people use in zones for which the zone database has figures only.
+SPOKEN = {
+    "America/Lima": {"pet": -5}, "America/Santiago": {"clt": -4, "clst": -3}, "America/Sao_Paulo": {"brt": -3, "brst": -2},
+    "America/Argentina/Buenos_Aires": {"art": -3}, "America/La_Paz": {"bot": -4}, "America/Bogota": {"cot": -5},
+    "America/Guayaquil": {"ect": -5}, "America/Caracas": {"vet": -4}, "America/Montevideo": {"uyt": -3},
+}
+FIRST_DAY, LAST_DAY = 0, 365 * 130 + 32  # zone tables run from 1970 to 2099; other days are asked of the zone one by one
 HOUR = 3600
 
 
 @dataclass(frozen=True)
 class ZoneTable:
     """Offsets of a zone, in seconds: ``offsets[i]`` holds for clock times from ``clock[i - 1]``
-    up to ``clock[i]``. Of a clock hour that occurs twice the first counts; one that is skipped
-    counts with the offset before. ``version`` is that of the zone database."""
+    up to ``clock[i]``, and ``names[i]`` is what the zone is called then. Of a clock hour that occurs twice the
+    first counts; one that is skipped counts with the offset before. ``version`` is that of the zone database.
+    ``spoken`` has the offsets of every name, the latest last."""
 
     zone: str
     version: str
     clock: np.ndarray
     offsets: np.ndarray
+    names: list[str]
+    spoken: dict[str, tuple[int, ...]]
+
+    def at(self, local: int) -> tuple[int, str]:
+        """Offset and name at a clock time."""
+        i = int(np.searchsorted(self.clock, local, side="right"))
+        return int(self.offsets[i]), self.names[i]
 
     def to_utc(self, local: np.ndarray) -> np.ndarray:
-        return local - self.offsets[np.searchsorted(self.clock, local, side="right")]
+        utc = local - self.offsets[np.searchsorted(self.clock, local, side="right")]
+        for i in np.flatnonzero((local < (FIRST_DAY + 1) * 86400) | (local >= (LAST_DAY - 1) * 86400)):
+            utc[i] = local[i] - _offset_of_clock(self.zone, int(local[i]))
+        return utc
+
+
+def _offset_of_clock(zone: str, local: int) -> int:
+    """Offset of a zone at a clock time of any year."""
+    from datetime import datetime, timedelta
+
+    clock = (datetime(1970, 1, 1) + timedelta(seconds=local)).replace(tzinfo=zoneinfo.ZoneInfo(zone))
+    return int(clock.utcoffset().total_seconds())
 
 
 def zone_version() -> str:
@@ -68,7 +93,8 @@ def zone_version() -> str:
 
 @lru_cache(maxsize=1024)
 def zone_table(zone: str) -> ZoneTable | None:
-    """The table of a zone, found by bisection between days; None if there is no such zone."""
+    """The table of a zone, found by bisection between days; None if there is no such zone. No zone of the
+    database has two changes within two days."""
     from datetime import UTC, datetime, timedelta
 
     try:
@@ -80,7 +106,10 @@ def zone_table(zone: str) -> ZoneTable | None:
     def offset(second: int) -> int:
         return int((start + timedelta(seconds=second)).astimezone(info).utcoffset().total_seconds())
 
-    clock, offsets = [], [offset(0)]
+    def name(second: int) -> str:
+        return (start + timedelta(seconds=second)).astimezone(info).tzname().lower()
+
+    clock, offsets, names = [], [offset(0)], [name(0)]
     before = offsets[0]
     for day in range(FIRST_DAY + 1, LAST_DAY):
         here = offset(day * 86400)
@@ -91,8 +120,22 @@ def zone_table(zone: str) -> ZoneTable | None:
                 low, high = (middle, high) if offset(middle) == before else (low, middle)
             clock.append(high + max(before, here))
             offsets.append(here)
+            names.append(name(day * 86400))
             before = here
-    return ZoneTable(zone, zone_version(), np.array(clock, np.int64), np.array(offsets, np.int64))
+    spoken: dict[str, tuple[int, ...]] = {k: (v * HOUR,) for k, v in SPOKEN.get(zone, {}).items()}
+    for word, seconds in zip(names, offsets):
+        spoken[word] = (*(x for x in spoken.get(word, ()) if x != seconds), seconds)
+    return ZoneTable(zone, zone_version(), np.array(clock, np.int64), np.array(offsets, np.int64), names, spoken)
+
+
+@lru_cache(maxsize=65536)
+def abbreviation(zone: str | None, word: str) -> tuple[int, ...]:
+    """Offsets that an abbreviation may have in a zone: those that the zone itself gives it, else the one that
+    it has everywhere; none if it is unknown or means several things."""
+    table = zone_table(_zone_name(zone)) if zone else None
+    if table is not None and word in table.spoken:
+        return table.spoken[word]
+    return (ABBREVIATIONS[word] * HOUR,) if word in ABBREVIATIONS else ()
 
 
 _DATE = (
@@ -211,10 +254,15 @@ def _parse_group(texts: list[str], fields: dict, zones: np.ndarray, orders: np.n
             sign = np.array([-1 if w == "-" else 1 for w in _words(codes, fields["sign" + end], str)])
             offset, fixed = sign * (num("zh" + end) * HOUR + minutes * 60), np.ones(n, bool)
     if "abbr" in fields:
-        hours, known = _to_number(_words(codes, fields["abbr"], ABBREVIATIONS.get))
+        words = _words(codes, fields["abbr"], str)
+        meant = [abbreviation(z, w) for z, w in zip(zones, words)]
+        known = np.array([bool(x) for x in meant], bool)
         ok &= known
         if "sign3" not in fields:
-            offset, fixed = hours * HOUR, known
+            offset, fixed = np.array([x[-1] if x else 0 for x in meant], np.int64), known
+            for i in (i for i, x in enumerate(meant) if len(x) > 1):  # the one that holds then, else the latest
+                seconds, word = zone_table(_zone_name(zones[i])).at(int(local[i]))
+                offset[i] = seconds if word == words[i] else offset[i]
     if "letter" in fields:
         letter = _words(codes, fields["letter"], str)
         ok &= (letter == "z") | (letter == "h")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -82,26 +83,40 @@ class UnitGraph:
 
     def table(self, spark: SparkSession, targets: Iterable[str]) -> DataFrame:
         """``unit, target, a, b, c, d``: one row for each unit and canonical target; as many
-        rows as the graph has units, whatever the data's size."""
+        rows as the graph has units, whatever the data's size. The entries are whole numbers without a
+        common divisor, so the table is exact; they are as wide as the widest needs."""
         rows = [
-            (unit, target, *(Decimal(x.numerator) / Decimal(x.denominator) for x in matrix))
+            (unit, target, *map(Decimal, _whole_entries(matrix)))
             for target in targets
             for unit, matrix in self.to(target).items()
         ]
-        number = "decimal(18,9)"
+        digits = max((len(str(abs(int(x)))) for row in rows for x in row[2:]), default=1)
+        if digits > MOST_DIGITS:
+            raise ValueError(f"conversions of over {MOST_DIGITS} digits")
+        number = f"decimal({digits},0)"
         return spark.createDataFrame(
             rows, f"unit string, target string, a {number}, b {number}, c {number}, d {number}"
         )
 
 
-def convert(df: DataFrame, table: DataFrame, value: str, unit: str, out: str, out_unit: str) -> DataFrame:
-    """Adds ``out`` (decimal(38,12)) and ``out_unit``: ``value`` in the canonical unit of its unit.
+MOST_DIGITS = 18
+
+
+def _whole_entries(m: Matrix) -> list[int]:
+    """The same function with whole entries."""
+    wide = math.lcm(*(x.denominator for x in m))
+    whole = [int(x * wide) for x in m]
+    common = math.gcd(*whole) * (-1 if next(x for x in reversed(whole) if x) < 0 else 1)
+    return [x // common for x in whole]
+
 
-    An equi-join on the unit; the table is broadcast, since it has a row per unit of the
-    graph. An unknown or null unit and a null value give nulls; no row is lost. A division
-    by 0 gives null. Clashing column names don't matter: only the two new names are added.
-    Values may have 15 digits before the point. Divisions keep 10 decimals up to 16 digits
-    before the point on either side, beyond that 6.
+def as_fraction(df: DataFrame, table: DataFrame, value: str, unit: str, out: str, out_unit: str) -> DataFrame:
+    """Adds ``<out>_arriba`` and ``<out>_abajo`` (decimal(38,9)), whose quotient is ``value`` in the canonical unit
+    ``out_unit`` of its unit: nothing is divided, so nothing is lost.
+
+    An equi-join on the unit; the table is broadcast, since it has a row per unit of the graph. Values
+    have nine decimals and, before the point, 27 digits less those of the table's widest entry; wider ones,
+    null values, and unknown or null units give nulls. No row is lost and none ends the job.
     """
     t = F.broadcast(
         table.select(
@@ -109,20 +124,41 @@ def convert(df: DataFrame, table: DataFrame, value: str, unit: str, out: str, ou
             *[F.col(x).alias(f"__{x}") for x in "abcd"],
         )
     )
-    x = F.col(value).cast("decimal(24,9)")
-    top = (x * F.col("__a") + F.col("__b")).cast("decimal(38,12)")
-    below = (x * F.col("__c") + F.col("__d")).cast("decimal(38,12)")
-    # The quotient of two wide decimals has few decimals, so narrow ones come first.
-    ratio = F.coalesce(
-        F.try_divide(top.try_cast("decimal(28,12)"), below.try_cast("decimal(28,12)")).cast("decimal(38,12)"),
-        F.try_divide(top, below).cast("decimal(38,12)"),
+    x = F.col(value).try_cast(f"decimal({36 - table.schema['a'].dataType.precision},9)")
+    line = lambda k, m: F.try_add(F.try_multiply(x, F.col(k)), F.col(m)).try_cast("decimal(38,9)")
+    made = (f"{out}_arriba", f"{out}_abajo", out_unit)
+    return df.join(t, df[unit] == t["__unit"], "left").select(
+        *[df[c] for c in df.columns if c not in made],
+        line("__a", "__b").alias(made[0]), line("__c", "__d").alias(made[1]), F.col("__target").alias(out_unit),
     )
-    joined = df.join(t, df[unit] == t["__unit"], "left")
-    exact = F.when((F.col("__c") == 0) & (F.col("__d") == 1), top).otherwise(ratio)
-    return joined.select(
-        *[df[c] for c in df.columns if c not in (out, out_unit)],
-        exact.cast("decimal(38,12)").alias(out), F.col("__target").alias(out_unit),
+
+
+def convert(df: DataFrame, table: DataFrame, value: str, unit: str, out: str, out_unit: str) -> DataFrame:
+    """Adds ``out`` (decimal(38,12)) and ``out_unit``: ``value`` in the canonical unit of its unit, as
+    ``as_fraction`` has it. The one division comes last: a quotient has 12 decimals where its upper number has
+    up to 16 digits before the point and its lower one up to 10, else 6. A division by 0 gives null.
+    Clashing column names don't matter: only the two new names are added."""
+    parts = as_fraction(df, table, value, unit, "__x", out_unit)
+    top, below = F.col("__x_arriba"), F.col("__x_abajo")
+    quotient = F.coalesce(
+        F.try_divide(top.try_cast("decimal(25,9)"), below.try_cast("decimal(19,9)")).try_cast("decimal(38,12)"),
+        F.try_divide(top, below).try_cast("decimal(38,12)"),
     )
+    exact = F.when(below == 1, top.try_cast("decimal(38,12)")).otherwise(quotient)
+    return parts.select(*[parts[c] for c in df.columns if c not in (out, out_unit)], exact.alias(out), F.col(out_unit))
+
+
+def rounded_product(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """The product of two positive fractions (``as_fraction``) as a whole number, halves up: exact, by the
+    remainder of one division, where the first has up to 16 digits before the point and 6 decimals above and is
+    whole below, and the second has up to 6 digits above and 10 below. Wider ones are rounded from 6 decimals.
+    Null beyond a bigint."""
+    top = F.try_multiply(a[0].try_cast("decimal(22,6)"), b[0].try_cast("decimal(15,9)"))
+    below = F.try_multiply(a[1].try_cast("decimal(10,0)"), b[1].try_cast("decimal(19,9)"))
+    rest = F.try_mod(top, below)
+    exact = F.try_divide(F.try_subtract(top, rest), below).try_cast("decimal(25,0)") + F.when(rest >= below - rest, 1).otherwise(0)
+    wide = F.try_divide(F.try_multiply(a[0], b[0]), F.try_multiply(a[1], b[1]))
+    return F.coalesce(exact.try_cast("bigint"), F.floor(F.try_add(wide, F.lit("0.5").cast("decimal(2,1)"))).try_cast("bigint"))
 
 
 # The currencies' spellings, as patterns over lower-case text without accents.
@@ -199,6 +235,7 @@ NUMBER_WORDS = {
     "cuatrocientos": 400, "quinientos": 500, "seiscientos": 600, "setecientos": 700,
     "ochocientos": 800, "novecientos": 900,
 }
+AMOUNT = "decimal(26,6)"
 _NUMBER = r"\d+(?:[.,' ’´]\d+)*"
 _SCALE_AFTER = r"\s*(miles|mil|millones|millon|mill|mm|m|k)?(?![a-z0-9²])"
 
@@ -206,7 +243,7 @@ _SCALE_AFTER = r"\s*(miles|mil|millones|millon|mill|mm|m|k)?(?![a-z0-9²])"
 def _number(token: Column) -> Column:
     """A separator before exactly three digits groups thousands; any other mark is the decimal one."""
     grouped = F.regexp_replace(token, r"[.,' ’´](?=\d{3}(?!\d))", "")
-    return F.regexp_replace(F.regexp_replace(grouped, r"[' ’´]", ""), ",", ".").try_cast("decimal(18,6)")
+    return F.regexp_replace(F.regexp_replace(grouped, r"[' ’´]", ""), ",", ".").try_cast(AMOUNT)
 
 
 def _words_value(plain: Column) -> Column:
@@ -214,51 +251,57 @@ def _words_value(plain: Column) -> Column:
     words = F.split(plain, r"[^a-z]+")
     table = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
     known = F.filter(words, lambda w: F.map_contains_key(table, w) | w.isin("mil", "millon", "millones"))
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("part"))
+    whole = "decimal(30,0)"
+    number = lambda x: F.lit(x).cast(whole)
+    start = F.struct(number(0).alias("total"), number(0).alias("part"))
+    add = lambda x, y: F.try_add(x, y).try_cast(whole)
+    times = lambda x, n: F.try_multiply(x, F.lit(n).cast("decimal(7,0)")).try_cast(whole)
 
     def step(acc: Column, w: Column) -> Column:
         total, part = acc["total"], acc["part"]
-        at_least = F.greatest(part, F.lit(1).cast("bigint"))
-        million = F.struct(
-            (F.greatest(total + part, F.lit(1).cast("bigint")) * 1_000_000).alias("total"), F.lit(0).cast("bigint").alias("part")
-        )
-        thousand = F.struct((total + at_least * 1000).alias("total"), F.lit(0).cast("bigint").alias("part"))
-        plus = F.struct(total.alias("total"), (part + F.coalesce(table[w], F.lit(0))).cast("bigint").alias("part"))
+        million = F.struct(times(F.greatest(add(total, part), number(1)), 1_000_000).alias("total"), number(0).alias("part"))
+        thousand = F.struct(add(total, times(F.greatest(part, number(1)), 1000)).alias("total"), number(0).alias("part"))
+        plus = F.struct(total.alias("total"), add(part, F.coalesce(table[w], F.lit(0)).cast(whole)).alias("part"))
         return F.when(w.isin("millon", "millones"), million).when(w == "mil", thousand).otherwise(plus)
 
-    value = F.aggregate(known, start, step, lambda acc: acc["total"] + acc["part"])
-    return F.when(F.size(known) > 0, value.try_cast("decimal(18,6)"))
+    value = F.aggregate(known, start, step, lambda acc: add(acc["total"], acc["part"]))
+    return F.when(F.size(known) > 0, value.try_cast(AMOUNT))
 
 
-def stated_amount(price: Column, money: Column) -> Column:
-    """``struct<amount decimal(18,6), unit string>`` that a listing states, null if it states none.
+def with_stated_amounts(df: DataFrame, price: str, money: str) -> DataFrame:
+    """``df`` with ``amount`` (decimal(26,6)) and ``unit`` as ``price`` and ``money`` state them; rows that don't are
+    left out. Columns of these names are replaced.
 
     The number is the first one of ``price``, else its number words. ``k``, ``mil``, ``MM`` and
     the like behind it are its scale. The unit is that of ``price``'s own currency, else all of
-    ``money`` (``céntimos de sol``), whose scale then also holds. Amounts of more than 12 digits
-    before the point are none.
+    ``money`` (``céntimos de sol``), whose scale then also holds. Amounts of more than 20 digits
+    before the point are none. Each text is folded, and searched for its number, once.
     """
-    p, m = _plain(price), _plain(money)
-    token = F.regexp_extract(p, f"({_NUMBER}){_SCALE_AFTER}", 1)
-    scale = F.regexp_extract(p, f"({_NUMBER}){_SCALE_AFTER}", 2)
-    plain_token = F.when(token != "", token).otherwise(F.regexp_extract(p, f"({_NUMBER})", 1))
+    held = [c for c in df.columns if c not in ("amount", "unit")]
+    folded = df.select(*held, _plain(F.col(price)).alias("__p"), _plain(F.col(money)).alias("__m"))
+    p, m = F.col("__p"), F.col("__m")
+    scaled = f"({_NUMBER}){_SCALE_AFTER}"
+    cut = folded.select(
+        "*", F.regexp_extract(p, scaled, 1).alias("__token"), F.regexp_extract(p, scaled, 2).alias("__scale"),
+        F.regexp_extract(p, f"({_NUMBER})", 1).alias("__first"), _first(F.regexp_replace(p, _NUMBER, " "), CURRENCIES, None).alias("__own"),
+    )
     factor = (
-        F.when(scale.isin("k", "mil", "miles"), F.lit(1000))
-        .when(scale.isin("m", "mm", "mill", "millon", "millones"), F.lit(1_000_000))
+        F.when(F.col("__scale").isin("k", "mil", "miles"), F.lit(1000))
+        .when(F.col("__scale").isin("m", "mm", "mill", "millon", "millones"), F.lit(1_000_000))
         .otherwise(F.lit(1))
     )
-    digits = (_number(plain_token) * factor.cast("decimal(8,0)")).try_cast("decimal(18,6)")
-    amount = F.when(p.rlike(r"\d"), digits).otherwise(_words_value(p))
-    own = _first(F.regexp_replace(p, _NUMBER, " "), CURRENCIES, None)
-    unit = F.when(own.isNotNull(), F.concat(F.lit("uno "), own)).otherwise(
+    token = F.when(F.col("__token") != "", F.col("__token")).otherwise(F.col("__first"))
+    digits = F.try_multiply(_number(token), factor.cast("decimal(8,0)")).try_cast(AMOUNT)
+    amount = F.when(F.col("__first") != "", digits).otherwise(_words_value(p))
+    unit = F.when(F.col("__own").isNotNull(), F.concat(F.lit("uno "), F.col("__own"))).otherwise(
         F.concat(_first(m, SCALES, "uno"), F.lit(" "), _first(m, CURRENCIES, None))
     )
-    return F.when(amount.isNotNull() & unit.isNotNull(), F.struct(amount.alias("amount"), unit.alias("unit")))
+    return cut.select(*held, amount.alias("amount"), unit.alias("unit")).where("amount is not null and unit is not null")
 
 
 def soles_per_unit(quotes: DataFrame) -> DataFrame:
-    """Quotes with ``soles`` (per one unit of ``divisa``): ``venta`` converted from the unit that
-    ``unidad`` or else ``nota`` states. Quotes of unclear unit, or without ``venta``, are left out."""
+    """Quotes with ``soles_arriba, soles_abajo``, whose quotient is the soles per one unit of ``divisa``: ``venta``
+    converted from the unit that ``unidad`` or else ``nota`` states. Quotes of unclear unit, or without ``venta``, are left out."""
     graph = money_graph()
     table = graph.table(quotes.sparkSession, [f"uno PEN por uno {m}" for m in FOREIGN])
     stated = quotes.select(
@@ -266,9 +309,9 @@ def soles_per_unit(quotes: DataFrame) -> DataFrame:
         F.coalesce(rate_unit(F.col("unidad")), rate_unit(F.col("nota"))).alias("__rate_unit"),
     )
     return (
-        convert(stated, table, "venta", "__rate_unit", "soles", "__to")
-        .where(F.col("soles") > 0)
-        .select("series_codigos", "fecha", "tc_id", "soles", F.substring_index("__to", " ", -1).alias("divisa"))
+        as_fraction(stated, table, "venta", "__rate_unit", "soles", "__to")
+        .where("soles_arriba > 0 and soles_abajo > 0")
+        .select("series_codigos", "fecha", "tc_id", "soles_arriba", "soles_abajo", F.substring_index("__to", " ", -1).alias("divisa"))
     )
 
 
@@ -277,23 +320,18 @@ def amounts_in_soles(listings: DataFrame, runs: DataFrame, quotes: DataFrame) ->
 
     Foreign amounts are multiplied by the soles per unit of the latest quote of the listing's
     series at or before its run; without series, run or such a quote, or if the series is of
-    another currency, there is no row. Whole soles, halves up, in exact decimals. A listing
-    delivered twice counts once. The quotes are looked up once for each (series, run), not
-    for each listing.
+    another currency, there is no row. Whole soles, halves up, by exact fractions (``rounded_product``);
+    beyond a bigint there is no row. A listing delivered twice counts once. The quotes are looked up
+    once for each (series, run), not for each listing.
     """
     spark = listings.sparkSession
     graph = money_graph()
     once = listings.select("anuncio_id", "precio", "moneda", "serie_tc", "corrida_id").dropDuplicates(["anuncio_id"])
-    stated = once.select(
-        "anuncio_id", "serie_tc", "corrida_id", stated_amount(F.col("precio"), F.col("moneda")).alias("s")
-    ).where(F.col("s").isNotNull()).select("anuncio_id", "serie_tc", "corrida_id", "s.amount", "s.unit")
+    stated = with_stated_amounts(once, "precio", "moneda").select("anuncio_id", "serie_tc", "corrida_id", "amount", "unit")
     table = graph.table(spark, [f"uno {m}" for m in ["PEN", *FOREIGN]])
-    units = convert(stated, table, "amount", "unit", "importe", "en").where(F.col("importe").isNotNull())
+    units = as_fraction(stated, table, "amount", "unit", "importe", "en").where("importe_arriba is not null")
     # Read three times below, so texts are parsed once.
-    units = cut_lineage(units.select(
-        "anuncio_id", "serie_tc", "corrida_id", F.col("importe").cast("decimal(24,6)").alias("importe"), F.substring_index("en", " ", -1).alias("divisa")
-    ))
-    local = units.where("divisa = 'PEN'").select("anuncio_id", F.col("importe").cast("decimal(38,10)").alias("x"))
+    units = cut_lineage(units.select("anuncio_id", "serie_tc", "corrida_id", "importe_arriba", "importe_abajo", F.substring_index("en", " ", -1).alias("divisa")))
     foreign = units.where("divisa <> 'PEN' and serie_tc is not null and corrida_id is not null")
     moments = (
         foreign.select("serie_tc", "corrida_id").distinct()
@@ -301,10 +339,11 @@ def amounts_in_soles(listings: DataFrame, runs: DataFrame, quotes: DataFrame) ->
     )
     rates = asof_backward(
         moments, soles_per_unit(quotes), {"serie_tc": "series_codigos"}, ("__run_at", "fecha"),
-        {"soles": "tasa", "divisa": "divisa"}, tie="tc_id",
+        {"soles_arriba": "tasa_arriba", "soles_abajo": "tasa_abajo", "divisa": "divisa"}, tie="tc_id",
     )
-    abroad = foreign.join(rates.where("tasa is not null"), ["serie_tc", "corrida_id", "divisa"]).select(
-        "anuncio_id", (F.col("importe") * F.col("tasa").cast("decimal(17,10)")).cast("decimal(38,10)").alias("x")
-    )
-    whole = F.floor(F.col("x") + F.lit("0.5").cast("decimal(2,1)")).try_cast("bigint")
-    return local.unionAll(abroad).select("anuncio_id", whole.alias("soles")).where("soles is not null")
+    amount = (F.col("importe_arriba"), F.col("importe_abajo"))
+    one = F.lit(1).cast("decimal(38,9)")
+    local = units.where("divisa = 'PEN'").select("anuncio_id", rounded_product(amount, (one, one)).alias("soles"))
+    abroad = foreign.join(rates.where("tasa_arriba is not null"), ["serie_tc", "corrida_id", "divisa"])
+    rate = (F.col("tasa_arriba"), F.col("tasa_abajo"))
+    return local.unionAll(abroad.select("anuncio_id", rounded_product(amount, rate).alias("soles"))).where("soles is not null")

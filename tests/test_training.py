@@ -60,7 +60,9 @@ class TestUnits:
         ("price", "money", "soles"),
         [
             ("1.200.000.000", "S/", 1200000000), ("CLP 1200 MM", None, 4800000), ("CLP 1.050.900.000", None, 4203600),
-            ("2.000.000.000", "céntimos de sol", 20000000), ("999.999.999.999", "S/ (millones)", 999999999999000000), ("un millón de millones", "soles", None),
+            ("2.000.000.000", "céntimos de sol", 20000000), ("999.999.999.999", "S/ (millones)", 999999999999000000), ("un millón de millones", "soles", 10**12),
+            ("9.000.000.000.000.000.000", "S/", 9 * 10**18), ("99.000.000.000.000.000.000", "S/", None), ("99.000.000.000.000.000.000", "céntimos de sol", 99 * 10**16),
+            ("CLP 12.345.678.901.234.567.890", None, 49382715604938272), (" ".join(["millones"] * 9), "soles", None), ("mil " * 900, "soles", 900_000),
         ],
     )
     def test_large_amounts(self, spark, price, money, soles):
@@ -75,6 +77,22 @@ class TestUnits:
         df = spark.createDataFrame([(5e11, "kg"), (2e9, "1/g"), (0.004, "1/g")], "v double, u string")
         assert [float(r["x"]) for r in units.convert(df, table, "v", "u", "x", "xu").collect()] == [5e14, 5e-10, 250.0]
 
+    def test_conversions_are_exact(self, spark):
+        fahrenheit = units.affine("F", "C", Fraction(5, 9), Fraction(-160, 9))
+        table = units.UnitGraph([fahrenheit, units.affine("C", "K", 1, "273.15"), units.affine("nm", "m", Fraction(1, 10**9))]).table(spark, ["C", "m"])
+        df = spark.createDataFrame([(212.0, "F"), (310.15, "K"), (-40.0, "F"), (7.0, "nm"), (float("nan"), "F"), (1e40, "F")], "v double, u string")
+        got = [r["x"] and str(r["x"].normalize()) for r in units.convert(df, table, "v", "u", "x", "xu").collect()]
+        assert got == ["1E+2", "37", "-4E+1", "7E-9", None, None]
+
+    def test_halves_are_told_exactly(self, spark):
+        from decimal import Decimal
+
+        cases = [("1234567890123456.5", "1"), ("0.5", "1"), ("0.499999", "1"), ("3", "0.166666667"), ("1", "2.499999999"), ("0.1", "5")]
+        df = spark.createDataFrame([(Decimal(a), Decimal(b)) for a, b in cases], "a decimal(38,9), b decimal(38,9)")
+        one = F.lit(1).cast("decimal(38,9)")
+        got = [r[0] for r in df.select(units.rounded_product((F.col("a"), one), (F.col("b"), one))).collect()]
+        assert got == [int(Fraction(a) * Fraction(b) + Fraction(1, 2)) for a, b in cases]
+
     def test_rate_units(self, spark):
         said = ["PEN por 1,000 CLP", "céntimos por R$", "USD por 1 PEN", "soles por mil pesos chilenos", "S/. x €", "dólar por sol", "algo", None]
         df = spark.createDataFrame([(t,) for t in said], "t string")
@@ -129,6 +147,17 @@ class TestInstants:
         assert seconds("2024-03-05T00:00Z", zone=None, order=None) == utc(2024, 3, 5)
         assert seconds("2024-03-05", zone="No/Zone") is None
 
+    def test_abbreviations_are_those_of_the_zone(self):
+        assert seconds("2024-03-05 10:00:00 CST", "Asia/Shanghai") == utc(2024, 3, 5, 2)
+        assert seconds("2024-03-05 10:00:00 CST", "America/Chicago") == utc(2024, 3, 5, 16)
+        assert seconds("2024-03-05 10:00:00 CST", "America/Lima") is None  # means several things
+        assert seconds("2024-07-05 10:00:00 CLT", "America/Santiago") == utc(2024, 7, 5, 14) == seconds("2024-07-05 10:00:00 CLT", None)
+        assert seconds("2024-07-05 10:00:00 EST", "America/New_York") == utc(2024, 7, 5, 15)
+
+    def test_years_beyond_the_tables(self):
+        assert seconds("2150-07-01 12:00:00", "America/New_York") == utc(2150, 7, 1, 16)
+        assert seconds("1850-07-01 12:00:00", "America/New_York") == utc(1850, 7, 1, 16, 56, 2)
+
     def test_changes_of_the_clock(self):
         assert seconds("2024-10-27 02:30:00", "Europe/Madrid") == utc(2024, 10, 27, 0, 30)  # occurs twice: the first
         assert seconds("2024-03-31 02:30:00", "Europe/Madrid") == utc(2024, 3, 31, 1, 30)  # is skipped
