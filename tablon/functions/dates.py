@@ -19,6 +19,7 @@ def relative_date(text: Column, today: Column) -> Column:
     with weeks, days and months of 30 days, added up. Null for anything else. Full month names
     of five letters and more aren't understood."""
     t = F.lower(F.trim(text))
+    # The patterns of phrases, here and below.
     absolute = r"([0-9]{1,2})\s+([a-z]{3,4})\.?\s+([0-9]{4})"
     part = lambda i: F.regexp_extract(t, absolute, i)
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
@@ -43,6 +44,22 @@ def date_in_text(text: Column) -> Column:
     return F.when(part(1) != "", _date(part(1), part(2), day))
 
 
+def iso_date(value: Column) -> Column:
+    """The date of a timestamp or of a text: ``2026-05-16`` (a time may follow), ``2026/5/16``, ``20260516``, or
+    figures with the month first unless that is no month (``05/16/2026``, ``16/05/2026``). Null for anything else."""
+    t = F.trim(value.cast("string"))
+    year_first = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?:[T ].*)?$"
+    year_last = r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})(?:[T ].*)?$"
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    return F.coalesce(
+        F.when(part(year_first, 1) != "", _date(part(year_first, 1), part(year_first, 2), part(year_first, 3))),
+        F.when(t.rlike("^[0-9]{8}$"), F.try_to_date(t, "yyyyMMdd")),
+        F.when(part(year_last, 3) != "", F.coalesce(
+            _date(part(year_last, 3), part(year_last, 1), part(year_last, 2)), _date(part(year_last, 3), part(year_last, 2), part(year_last, 1))
+        )),
+    )
+
+
 def period(day: Column) -> dict[str, Column]:
     """Year, quarter (``2026-T2``), month (``2026-05``) and both numbers of a date."""
     return {

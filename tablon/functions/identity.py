@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*:)?"
@@ -45,6 +45,15 @@ def publication_id(
     )
 
 
+def with_publication_id(
+    df: DataFrame, sector: Column, portal: str = "portal", operation: str = "tipo_operacion", posting: str = "posting_id",
+    link: str = "enlace", out: str = "publicacion_id",
+) -> DataFrame:
+    """``df`` with ``publication_id`` of its columns; those that it lacks count as null."""
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    return df.withColumn(out, publication_id(sector, has(portal), has(operation), has(link), has(posting)))
+
+
 def record_key(
     sector: Column, portal: Column, scope_field: Column, operation: Column, link: Column
 ) -> Column:

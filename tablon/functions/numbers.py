@@ -17,6 +17,20 @@ def first_integer(text: Column) -> Column:
     return F.regexp_extract(text, r"[0-9]+", 0).try_cast("bigint")
 
 
+def round_binary(value: Column, digits: int = 2) -> Column:
+    """A double rounded to ``digits`` decimals by its exact binary value, ties to the even digit, as Python's ``round`` does
+    (``round`` and ``bround`` go by the shortest decimal text: 2.675 is just under the tie, though it doesn't look so)."""
+    scale = 10.0**digits
+    x = value.cast("double")
+    cents = F.floor(x * scale).cast("double")
+    # The value in two halves of few bits each, so that both products are exact, and so is the distance to the tie.
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    above = (high * (2 * scale) - (cents * 2 + 1)) + (x - high) * (2 * scale)
+    up = (above > 0) | ((above == 0) & (F.pmod(cents, F.lit(2.0)) == 1))
+    return F.when(F.abs(x) < 2.0**52 / scale, (cents + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
+
+
 def rate_number(text: Column) -> Column:
     """A quote's number; null for blanks and the marks of missing ones."""
     plain = F.lower(F.trim(text.cast("string")))

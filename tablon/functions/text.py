@@ -44,9 +44,19 @@ def content_hash(text: Column) -> Column:
 
 
 def is_blank(value: Column) -> Column:
-    """True for null, for text without a visible character and for NaN."""
+    """True for null, for text without a visible character and for the number NaN (not for the text)."""
     text = F.trim(value.cast("string"))
-    return value.isNull() | (text == "") | (text == "NaN")
+    return value.isNull() | (text == "") | (F.typeof(value).isin("double", "float") & (text == "NaN"))
+
+
+def or_null(value: Column) -> Column:
+    """Null for the number NaN, else the value."""
+    return F.when(~(F.typeof(value).isin("double", "float") & (value.cast("string") == "NaN")), value)
+
+
+def sorted_json(values: dict[str, Column]) -> Column:
+    """JSON of named values, in order of their names, nulls too."""
+    return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]), {"ignoreNullFields": "false"})
 
 
 def dedup_text(text: Column) -> Column:

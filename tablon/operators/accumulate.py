@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +19,8 @@ def keep_last(df: DataFrame, keys: list[str | Column], order: list[Column]) -> D
 def accumulate(previous: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of both, those of ``new`` in place of earlier ones with the same key; of rows of one
     key within ``new`` the last by ``__ord`` if there is such a column. Columns of either side are
-    kept, the new ones' order first. Without an earlier table the new rows stay as they are."""
-    if previous is None:
+    kept, the new ones' order first. Without an earlier table, or with an empty one, the new rows stay as they are."""
+    if previous is None or previous.limit(1).isEmpty():
         return new.drop("__ord")
     own = [k for k in keys if k in new.columns]
     order = [F.col("__age")] + ([F.col("__ord")] if "__ord" in new.columns else [])
@@ -27,6 +28,27 @@ def accumulate(previous: DataFrame | None, new: DataFrame, keys: list[str]) -> D
     return (keep_last(both, own, order) if own else both).drop("__age", "__ord")
 
 
+@dataclass(frozen=True)
+class Sheet:
+    """A named table of a report and the columns that tell its rows apart."""
+
+    name: str
+    keys: list[str] = field(default_factory=list)
+
+
+def accumulate_sheets(previous: dict[str, DataFrame], new: dict[str, DataFrame], sheets: list[Sheet]) -> dict[str, DataFrame]:
+    """Each declared sheet, its new rows over its earlier ones; a sheet without new rows keeps its own, one that
+    was never there and isn't delivered is left out. Sheets that aren't declared are dropped."""
+    out = {}
+    for sheet in sheets:
+        old, fresh = previous.get(sheet.name), new.get(sheet.name)
+        if fresh is not None:
+            out[sheet.name] = accumulate(old, fresh, sheet.keys)
+        elif old is not None:
+            out[sheet.name] = old
+    return out
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows, columns by name, missing ones null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

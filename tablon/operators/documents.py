@@ -59,6 +59,30 @@ def table_cells(words: DataFrame, cuts: DataFrame, page: list[str]) -> DataFrame
     return rows.select(*page, "fila", every.alias("celdas"))
 
 
+def stream_tables(words: DataFrame, page: list[str], tolerance: float = 3.0, gap: float = 10.0) -> DataFrame:
+    """``page, tabla, fila, celdas``: a page's words as one table, by where they stand."""
+    cells = table_cells(text_rows(words, page, tolerance), column_cuts(words, page, gap), page)
+    return cells.select(*page, F.lit(0).alias("tabla"), "fila", "celdas")
+
+
+def chosen_tables(lattice: DataFrame | None, stream: DataFrame | None, page: list[str], strategy: str = "auto") -> DataFrame:
+    """Rows of tables (``page, tabla, fila, celdas``) with ``metodo``: those by lines, those by words, or (``auto``) by words on
+    pages only that have none by lines. ValueError for another strategy."""
+    if strategy not in ("auto", "lattice", "stream"):
+        raise ValueError("strategy must be auto, lattice or stream")
+    by_lines = None if lattice is None else lattice.withColumn("metodo", F.lit("lattice"))
+    by_words = None if stream is None else stream.withColumn("metodo", F.lit("stream"))
+    if strategy != "auto":
+        return by_lines if strategy == "lattice" else by_words
+    rest = by_words.join(lattice.select(*page).distinct(), page, "left_anti")
+    return by_lines.unionByName(rest.select(*by_lines.columns))
+
+
+def table_shape(rows: DataFrame, table: list[str]) -> DataFrame:
+    """``table, n_filas, n_columnas``: how many rows a table has, and cells its widest row."""
+    return rows.groupBy(*table).agg(F.count("*").alias("n_filas"), F.coalesce(F.max(F.size("celdas")), F.lit(0)).alias("n_columnas"))
+
+
 def notices(pages: DataFrame, text: str, code: str, section: str | None = None, wanted: list[str] | None = None, trim: bool = True) -> DataFrame:
     """``pages`` without its text, with ``orden, codigo, seccion, aviso``: the text before each code is its notice.
 

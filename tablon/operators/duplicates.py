@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,10 +90,23 @@ def similar_pairs(
     return pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"))
 
 
+def dense_numbers(df: DataFrame, by: str, out: str) -> DataFrame:
+    """``df`` with ``out``: 1, 2, ... in the order of ``by`` (unique). Rows are ordered by ranges, numbered within each and
+    moved on by the counts of the ranges before, of which there are as many as partitions."""
+    placed = cut_lineage(df.orderBy(by).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, before = [], 0
+    for p in sorted(sizes):
+        starts.append((p, before))
+        before += sizes[p]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "__p bigint, __before bigint"))  # a row for each partition
+    return placed.join(offsets, part == F.col("__p")).withColumn(out, place + F.col("__before") + 1).drop("__id", "__p", "__before")
+
+
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
     """``id, dup_grupo, miembros``: groups of linked rows, numbered from 1 by their least row."""
     members = closure(pairs, "a", "b")
     sizes = members.groupBy("least").agg(F.count("*").alias("miembros"))
-    # Dense numbers need one order of all groups; it holds a row for each group.
-    numbered = sizes.withColumn("dup_grupo", F.row_number().over(Window.orderBy("least")))
+    numbered = dense_numbers(sizes, "least", "dup_grupo")
     return members.join(numbered, "least").select(F.col("row").alias("id"), "dup_grupo", "miembros")

@@ -31,35 +31,59 @@ def state_value(state: Column, path: str) -> Column:
 
 def find_key(key: str, depth: int = 30):
     """Column function: JSON of the first value of ``key`` in a state, itself before what lies below, in the
-    document's order, down to ``depth``; null if there is none or it is null."""
-
-    def search(node, left: int):
-        if left < 0:
-            return None
-        if isinstance(node, dict):
-            if key in node:
-                return node[key]
-            children = node.values()
-        elif isinstance(node, list):
-            children = node
-        else:
-            return None
-        return next((x for x in (search(c, left - 1) for c in children) if x is not None), None)
+    document's order, on ``depth`` levels of which the whole is the first; null if there is none or it is null."""
 
     @F.pandas_udf(T.StringType())
+    def find(states: pd.Series) -> pd.Series:
+        return pd.Series([_found(_parsed(text), key, depth) for text in states], dtype=object)
+
+    return find
+
+
+def _parsed(text: str | None):
+    try:
+        return json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+
+
+def _found(node, key: str, depth: int) -> str | None:
+    """JSON of the first value of ``key``; goes level by level on a stack of its own, so deep states don't fail."""
+    open_ = [(node, 1)]
+    while open_:
+        here, level = open_.pop()
+        if level > depth or not isinstance(here, (dict, list)):
+            continue
+        if isinstance(here, dict) and key in here:
+            if here[key] is not None:
+                return json.dumps(here[key], ensure_ascii=False)
+            continue
+        below = here.values() if isinstance(here, dict) else here
+        open_ += [(x, level + 1) for x in reversed(list(below))]
+    return None
+
+
+def found_keys(keys: list[str], depth: int = 30):
+    """Column function: map of those ``keys`` that a state has with a value, to its JSON; the state is parsed once."""
+
+    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
     def find(states: pd.Series) -> pd.Series:
         def one(text):
-            try:
-                found = search(json.loads(text), depth)
-            except (TypeError, ValueError, RecursionError):
-                return None
-            return None if found is None else json.dumps(found, ensure_ascii=False)
+            node = _parsed(text)
+            return {k: v for k in keys if (v := _found(node, k, depth)) is not None}
 
-        return states.map(one)
+        return pd.Series([one(text) for text in states], dtype=object)
 
     return find
 
 
+def stored_files(snapshots: Column) -> Column:
+    """Of a JSON list of stored pages, those records (as maps) that name their file; none if it is no list."""
+    records = F.from_json(snapshots, "array<map<string,string>>")
+    none = F.array().cast("array<map<string,string>>")
+    return F.coalesce(F.filter(records, lambda r: F.coalesce(F.try_element_at(r, F.lit("archivo")) != "", F.lit(False))), none)
+
+
 def block_reason(status: Column, html: Column) -> Column:
     """Why a response is a block: its status, or a challenge in its first 20,000 characters; else null."""
     challenge = F.coalesce(F.substring(html, 1, 20_000).rlike(CHALLENGE), F.lit(False))

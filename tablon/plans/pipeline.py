@@ -15,7 +15,7 @@ from tablon.operators.lifecycle import Policy, Run, apply_run, known_run, run_st
 from tablon.operators.quality import quality_gate
 from tablon.operators.validate import quarantine
 from tablon.session import cut_lineage
-from tablon.sources.state import VersionedTable, append_log
+from tablon.sources.state import ScopedTable, VersionedTable, append_log
 
 SCOPE = ["sector", "portal", "tipo_operacion"]
 
@@ -35,6 +35,20 @@ class RunRequest:
     least: dict[str, float] = field(default_factory=lambda: {"enlace": 0.9, "titulo": 0.5})
 
 
+def planned_runs(portals: list[str], operations: list[str | None], portal: str = "todos", operation: str = "todas") -> list[tuple[str, str | None]]:
+    """The (portal, operation) of each run, every portal's in turn: all of them or the one that is named; a portal without
+    operations has one run."""
+    chosen = portals if portal == "todos" else [portal]
+    of_each = (operations if operation == "todas" else [operation]) if operations else [None]
+    return [(p, o) for p in chosen for o in of_each]
+
+
+def routed(rows: DataFrame, verdict: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``destino``: ``vigentes`` where the verdict on their keys is fit, else ``degradadas``."""
+    fit = verdict.select(*keys, F.col("apta").alias("__fit"))
+    return rows.join(fit, keys, "left").withColumn("destino", F.when(F.col("__fit"), "vigentes").otherwise("degradadas")).drop("__fit")
+
+
 def clean(raw: DataFrame, request: RunRequest) -> DataFrame:
     """Raw records with the run's scope, ids, hashes and periods; records without any value are dropped."""
     scoped = raw.dropna("all").withColumns(
@@ -51,12 +65,13 @@ def clean(raw: DataFrame, request: RunRequest) -> DataFrame:
     return with_periods(keyed, "fecha_publicacion") if "fecha_publicacion" in raw.columns else keyed
 
 
-def process_run(raw: DataFrame, request: RunRequest, state: VersionedTable, log: DataFrame, log_path: str, degraded_path: str, policy: Policy, columns: list[str], order: str | None = None) -> str:
+def process_run(raw: DataFrame, request: RunRequest, state: VersionedTable | ScopedTable, log: DataFrame, log_path: str, degraded_path: str, policy: Policy, columns: list[str], order: str | None = None) -> str:
     """Runs all stages; the outcome is ``ya_registrado``, ``sin_datos``, ``degradado``, ``advertencia`` or ``ok``.
 
     A source id that the log has in this scope changes nothing. Degraded runs are written to
     ``degraded_path`` and leave the state as it was; so do rows with errors of good ones. The state's new version
-    is written before the log's row, so a run that dies between is repeated and finds its rows there.
+    is written before the log's row, so a run that dies between is repeated and finds its rows there. Of a
+    ``ScopedTable`` only the run's scope is read and rewritten.
     """
     scope = {"sector": request.sector, "portal": request.portal, "tipo_operacion": request.operation}
     again = known_run(log, request.source_id, scope)
@@ -71,10 +86,12 @@ def process_run(raw: DataFrame, request: RunRequest, state: VersionedTable, log:
     if not bad.limit(1).isEmpty():
         bad.write.mode("overwrite").parquet(f"{degraded_path}/errores={request.corrida_id}")
     rows = good.select(*SCOPE, "enlace", *columns, *([order] if order else []))
-    before = state.read()
-    after = cut_lineage(apply_run(before, rows, Run(request.at, request.complete, verdict, again), policy, SCOPE, order))
-    counts = cut_lineage(run_statistics(before, after, SCOPE))
-    state.write(after.drop("estado_anuncio"))
+    table = state.part(scope) if isinstance(state, ScopedTable) else state
+    before = table.read()
+    run = Run(request.at, request.complete, verdict, again)
+    after = cut_lineage(apply_run(before, rows, run, policy, SCOPE, order, [scope]))
+    counts = cut_lineage(run_statistics(before, after, SCOPE, run, policy, source_id=request.source_id))
+    table.write(after.drop("estado_anuncio"))
     entry = {"corrida_id": request.corrida_id, "fecha": request.at, **scope, "id_fuente": request.source_id, "listado_completo": request.complete, "estado_calidad": verdict}
     append_log(counts.select(*[F.lit(v).alias(k) for k, v in entry.items()], *[F.col(c).alias(f"n_{c}") for c in ("total", "nuevos", "repetidos", "desaparecidos")]), log_path)
     return verdict

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablon.functions import dates, identity, numbers, text
-from tablon.operators import accumulate, documents, duplicates, embedded, fx, lifecycle, lookup, quality, validate
+from tablon.operators import accumulate, diagnostics, documents, duplicates, embedded, fx, lifecycle, lookup, quality, validate
 from tablon.operators.asof import asof_backward
-from tablon.sources import readers
+from tablon.plans import pipeline
+from tablon.session import cut_lineage, shared_folder
+from tablon.sources import portal, readers
+from tablon.sources.state import VersionedTable
 from tablon.sources.tables import table
+from tablon.streaming.runs import stream_runs, windowed_counts, written_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,10 +159,12 @@ def q_coverage(s, d):
 @query("""
 WITH c AS (SELECT portal, count(*) AS total, avg(CASE WHEN trim(coalesce(precio, '')) <> '' THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN trim(coalesce(moneda, '')) <> '' THEN 1.0 ELSE 0.0 END) AS m,
   max(ausencias_consecutivas) > 2 AS aviso FROM anuncios GROUP BY portal)
-SELECT portal, CASE WHEN p < 0.95 OR m < 0.66 THEN 'degradado' WHEN aviso THEN 'advertencia' ELSE 'ok' END AS estado, NOT (p < 0.95 OR m < 0.66) AS apta, total FROM c""")
+SELECT portal, CASE WHEN p < 0.95 OR m < 0.66 THEN 'degradado' WHEN aviso THEN 'advertencia' ELSE 'ok' END AS estado, NOT (p < 0.95 OR m < 0.66) AS apta, total,
+  concat_ws('; ', CASE WHEN p < 0.95 THEN 'Cobertura de ''precio'' ' || printf('%.1f', p * 100) || '% < umbral 95%' END, CASE WHEN m < 0.66 THEN 'Cobertura de ''moneda'' ' || printf('%.1f', m * 100) || '% < umbral 66%' END,
+    CASE WHEN aviso THEN 'muchas ausencias' END) AS motivos FROM c""")
 def q_quality_gate(s, d):
     verdict = quality.quality_gate(table(s, d, "anuncios"), {"precio": 0.95, "moneda": 0.66}, {"muchas ausencias": F.max("ausencias_consecutivas") > 2}, ["portal"])
-    return verdict.drop("motivos")
+    return verdict.withColumn("motivos", F.array_join("motivos", "; "))
 
 
 @query(f"""
@@ -196,41 +201,17 @@ def _runs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "corridas").join(there, "corrida_id", "left_semi").withColumn("n", F.row_number().over(w))
 
 
-def _seen(s: SparkSession, d: str, n: int) -> DataFrame:
-    return table(s, d, "fotos_anuncios").select("corrida_id", *_SCOPE, "enlace", "titulo", "precio", "recibido_en").join(_runs(s, d).where(f"n = {n}").select("corrida_id"), "corrida_id")
-
-
-@query(f"""
-WITH {_RANKED}, f AS (SELECT corrida_id, portal, tipo_operacion, {canon_sql('enlace')} AS enlace, titulo FROM fotos_anuncios WHERE enlace IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY corrida_id, {canon_sql('enlace')} ORDER BY recibido_en DESC) = 1),
-a AS (SELECT f.* FROM f JOIN n USING (corrida_id) WHERE n.n = 1), b AS (SELECT f.* FROM f JOIN n USING (corrida_id) WHERE n.n = 2),
-m AS (SELECT coalesce(b.portal, a.portal) AS portal, coalesce(b.tipo_operacion, a.tipo_operacion) AS tipo_operacion, coalesce(b.enlace, a.enlace) AS enlace,
-  CASE WHEN b.enlace IS NULL THEN a.titulo ELSE b.titulo END AS titulo, a.enlace IS NOT NULL AS was, b.enlace IS NOT NULL AS seen
-  FROM a FULL JOIN b ON a.portal = b.portal AND a.tipo_operacion = b.tipo_operacion AND a.enlace = b.enlace),
-g AS (SELECT portal, tipo_operacion, count(*) AS base, count(*) FILTER (seen) AS presentes FROM m GROUP BY ALL)
-SELECT m.portal, m.tipo_operacion, enlace, titulo, CASE WHEN seen AND was THEN 'repetido' WHEN seen THEN 'nuevo' END AS estado_anuncio,
-  CASE WHEN seen OR (base >= 20 AND presentes < 0.4 * base) OR presentes = 0 THEN 0 ELSE 1 END AS ausencias_consecutivas FROM m JOIN g USING (portal, tipo_operacion)""")
-def q_lifecycle_step(s, d):
-    """The second snapshot of every scope applied to the first."""
-    policy = lifecycle.Policy()
-    state = s.createDataFrame([], _STATE)
-    for n in (1, 2):
-        rows = _seen(s, d, n).drop("corrida_id")
-        state = lifecycle.apply_run(state.drop("estado_anuncio"), rows, lifecycle.Run(datetime(2026, 1, n)), policy, _SCOPE, "recibido_en")
-    return state.select(*_SCOPE, "enlace", "titulo", "estado_anuncio", "ausencias_consecutivas")
-
-
-_RUNS_SQL = f"""
+_RUNS_CTE = f"""
 WITH RECURSIVE k AS (SELECT corrida_id, portal, tipo_operacion, fecha, coalesce(listado_completo, true) AS completa, coalesce(estado_calidad IN ('degradado', 'degradada'), false) AS mala FROM corridas
   QUALIFY id_fuente IS NULL OR row_number() OVER (PARTITION BY portal, tipo_operacion, id_fuente ORDER BY fecha, corrida_id) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY portal, tipo_operacion ORDER BY fecha, corrida_id) AS n FROM k),
 f AS (SELECT n.n, n.fecha, n.portal, n.tipo_operacion, {canon_sql('f.enlace')} AS enlace, titulo, precio FROM fotos_anuncios f JOIN n USING (corrida_id) WHERE {canon_sql('f.enlace')} <> ''
   QUALIFY row_number() OVER (PARTITION BY corrida_id, {canon_sql('f.enlace')} ORDER BY recibido_en DESC) = 1),
 r AS (SELECT CAST(0 AS bigint) AS n, CAST(NULL AS varchar) AS portal, CAST(NULL AS varchar) AS tipo_operacion, CAST(NULL AS varchar) AS enlace, CAST(NULL AS varchar) AS titulo, CAST(NULL AS double) AS precio,
-    CAST(NULL AS timestamp) AS primera, CAST(NULL AS timestamp) AS ultima, 0 AS ausencias, false AS activo, CAST(NULL AS date) AS baja, CAST(NULL AS varchar) AS estado
+    CAST(NULL AS timestamp) AS primera, CAST(NULL AS timestamp) AS ultima, 0 AS ausencias, false AS activo, CAST(NULL AS date) AS baja, CAST(NULL AS varchar) AS estado, false AS falta
   UNION ALL
   SELECT n, portal, tipo_operacion, enlace, titulo, precio, primera, ultima, CASE WHEN falta THEN ausencias + 1 ELSE ausencias END, activo AND NOT (falta AND ausencias + 1 >= 3),
-    CASE WHEN falta AND ausencias + 1 >= 3 THEN CAST(fecha AS date) ELSE baja END, estado
+    CASE WHEN falta AND ausencias + 1 >= 3 THEN CAST(fecha AS date) ELSE baja END, estado, falta
   FROM (SELECT *, coalesce(cuenta AND activo AND NOT vista AND NOT (base >= 20 AND presentes < 0.4 * base), false) AS falta
     FROM (SELECT m.*, c.fecha, c.completa AND NOT c.mala AS cuenta, CASE WHEN c.n IS NULL THEN antes ELSE ahora END AS estado,
         count(*) FILTER (activo) OVER (PARTITION BY m.portal, m.tipo_operacion) AS base, count(*) FILTER (activo AND vista) OVER (PARTITION BY m.portal, m.tipo_operacion) AS presentes
@@ -240,20 +221,79 @@ r AS (SELECT CAST(0 AS bigint) AS n, CAST(NULL AS varchar) AS portal, CAST(NULL
           CASE WHEN b.n IS NULL THEN a.baja END AS baja, a.estado AS antes, CASE WHEN b.n IS NOT NULL AND a.n IS NOT NULL THEN 'repetido' WHEN b.n IS NOT NULL THEN 'nuevo' END AS ahora
         FROM r a FULL JOIN (SELECT * FROM f WHERE n = (SELECT max(n) + 1 FROM r)) b ON a.portal = b.portal AND a.tipo_operacion = b.tipo_operacion AND a.enlace = b.enlace
       ) m LEFT JOIN n c ON c.portal = m.portal AND c.tipo_operacion = m.tipo_operacion AND c.n = m.n))
-  WHERE n <= (SELECT max(n) FROM n))
+  WHERE n <= (SELECT max(n) FROM n))"""
+_RUNS_SQL = _RUNS_CTE + """
 SELECT portal, tipo_operacion, enlace, titulo, precio, primera AS primera_vez_visto, ultima AS ultima_vez_visto, ausencias AS ausencias_consecutivas, activo, baja AS fecha_baja, estado AS estado_anuncio
 FROM r WHERE enlace IS NOT NULL AND n = (SELECT max(n) FROM n)"""
 
 
+def _history(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All snapshots' rows, their runs, and an empty state. A source id that a scope has had is no run again; an
+    unstated listado_completo is true, the reference's default."""
+    first = lifecycle.known_source_ids(table(s, d, "corridas"), _SCOPE).where("not ya_registrada")
+    runs = first.select("corrida_id", *_SCOPE, F.col("fecha").alias("at"), F.coalesce("listado_completo", F.lit(True)).alias("complete"), F.col("estado_calidad").alias("quality"), F.lit(False).alias("rerun"))
+    rows = table(s, d, "fotos_anuncios").select("corrida_id", *_SCOPE, "enlace", "titulo", "precio", "recibido_en")
+    return rows, runs, s.createDataFrame([], _STATE)
+
+
 @query(_RUNS_SQL)
 def q_lifecycle_runs(s, d):
-    """All runs of every scope, one after another: the state at the end. A source id that a scope has had
-    changes nothing again; an unstated listado_completo is true, the reference's default."""
-    again = F.row_number().over(Window.partitionBy(*_SCOPE, "id_fuente").orderBy("fecha", "corrida_id"))
-    first = table(s, d, "corridas").withColumn("k", again).where("id_fuente is null or k = 1")
-    runs = first.select("corrida_id", *_SCOPE, F.col("fecha").alias("at"), F.coalesce("listado_completo", F.lit(True)).alias("complete"), F.col("estado_calidad").alias("quality"), F.lit(False).alias("rerun"))
+    """All runs of every scope, one after another: the state at the end."""
+    return lifecycle.fold_runs(*_history(s, d), lifecycle.Policy(), _SCOPE, "recibido_en")
+
+
+@query(_RUNS_CTE + """
+SELECT n.corrida_id, count(r.estado) AS n_total, count(*) FILTER (r.estado = 'nuevo') AS n_nuevos, count(*) FILTER (r.estado = 'repetido') AS n_repetidos, count(*) FILTER (r.falta) AS n_desaparecidos
+FROM n LEFT JOIN r ON r.n = n.n AND r.portal = n.portal AND r.tipo_operacion = n.tipo_operacion GROUP BY n.corrida_id""")
+def q_lifecycle_log(s, d):
+    """The log that all runs of every scope write."""
+    return lifecycle.fold_log(*_history(s, d), lifecycle.Policy(), _SCOPE, "recibido_en")
+
+
+@query(_RUNS_SQL)
+def q_stream_runs(s, d):
+    """The same runs as a stream of snapshot rows that is read to its end, into a versioned table."""
+    rows, runs, empty = _history(s, d)
+    folder = shared_folder(s, "corridas")
+    source = s.readStream.schema(table(s, d, "fotos_anuncios").schema).parquet(f"{d}/fotos_anuncio[s].parquet")
+    state = VersionedTable(s, f"{folder}/estado", empty.schema)
+    stream_runs(source, state, f"{folder}/avance", _SCOPE, "corrida_id", "recibido_en", lifecycle.Policy(), rows.columns, "recibido_en", runs.drop("rerun")).awaitTermination()
+    return state.read().drop("ultima_corrida")
+
+
+@query(f"""
+WITH {_RANKED}, f AS (SELECT DISTINCT n.n, n.portal, n.tipo_operacion, {canon_sql('f.enlace')} AS enlace FROM fotos_anuncios f JOIN n USING (corrida_id) WHERE n.n <= 2 AND {canon_sql('f.enlace')} <> ''),
+m AS (SELECT coalesce(a.portal, b.portal) AS portal, coalesce(a.tipo_operacion, b.tipo_operacion) AS tipo_operacion, a.n IS NOT NULL AS was, b.n IS NOT NULL AS seen
+  FROM (SELECT * FROM f WHERE n = 1) a FULL JOIN (SELECT * FROM f WHERE n = 2) b ON a.portal = b.portal AND a.tipo_operacion = b.tipo_operacion AND a.enlace = b.enlace),
+g AS (SELECT count(*) FILTER (seen) AS total, count(*) FILTER (seen AND NOT was) AS nuevos, count(*) FILTER (seen AND was) AS repetidos, count(*) FILTER (NOT seen) AS faltan,
+  count(*) >= 20 AND count(*) FILTER (seen) < 0.4 * count(*) AS cae, count(*) FILTER (seen) = 0 AS nada FROM m GROUP BY portal, tipo_operacion)
+SELECT CAST(sum(total) AS bigint) AS total, CAST(sum(nuevos) AS bigint) AS nuevos, CAST(sum(repetidos) AS bigint) AS repetidos, CAST(coalesce(sum(faltan) FILTER (NOT cae), 0) AS bigint) AS desaparecidos,
+  CAST(coalesce(sum(faltan) FILTER (NOT cae), 0) AS bigint) AS dados_de_baja, CAST((SELECT count(*) FROM fotos_anuncios JOIN n USING (corrida_id) WHERE n.n = 2) - sum(total) AS bigint) AS duplicados_descartados,
+  false AS omitido_por_rerun, true AS mutacion_desaparecidos, true AS listado_completo, bool_or(cae) AS colapso_listado, 'fuente' AS id_fuente FROM g""")
+def q_run_statistics(s, d):
+    """What a run over every scope that retires at the first absence says of itself; its base is what the scopes had before."""
+    policy, empty = lifecycle.Policy(absences=1), s.createDataFrame([], _STATE)
+    runs = _runs(s, d)
     rows = table(s, d, "fotos_anuncios").select("corrida_id", *_SCOPE, "enlace", "titulo", "precio", "recibido_en")
-    return lifecycle.fold_runs(rows, runs, s.createDataFrame([], _STATE), lifecycle.Policy(), _SCOPE, "recibido_en")
+    one, two = (rows.join(runs.where(F.col("n") == n).select("corrida_id"), "corrida_id").drop("corrida_id") for n in (1, 2))
+    scopes = [r.asDict() for r in runs.select(*_SCOPE).distinct().collect()]  # the run's scopes, as a caller states them
+    before = cut_lineage(lifecycle.apply_run(empty, one, lifecycle.Run(datetime(2026, 1, 1)), policy, _SCOPE, "recibido_en", scopes)).drop("estado_anuncio")
+    run = lifecycle.Run(datetime(2026, 1, 2))
+    after = cut_lineage(lifecycle.apply_run(before, two, run, policy, _SCOPE, "recibido_en", scopes))
+    return lifecycle.run_statistics(before, after, _SCOPE, run, policy, two.count(), "fuente")
+
+
+@query(f"""
+WITH f AS (SELECT portal, tipo_operacion, {canon_sql('enlace')} AS enlace FROM fotos_anuncios WHERE {canon_sql('enlace')} <> '' GROUP BY ALL), g AS (SELECT portal, tipo_operacion, count(*) AS k FROM f GROUP BY ALL)
+SELECT portal, tipo_operacion, enlace, CASE WHEN k < 20 THEN 1 ELSE 0 END AS ausencias_consecutivas, k >= 20 AS activo, CASE WHEN k < 20 THEN date '2026-01-02' END AS fecha_baja FROM f JOIN g USING (portal, tipo_operacion)""")
+def q_empty_run(s, d):
+    """A complete run that finds nothing, over a state of all listings: small scopes lose all, the guard holds for others."""
+    policy, empty = lifecycle.Policy(absences=1), s.createDataFrame([], _STATE)
+    rows = table(s, d, "fotos_anuncios").select(*_SCOPE, "enlace", "titulo", "precio", "recibido_en")
+    scopes = [r.asDict() for r in rows.select(*_SCOPE).distinct().collect()]  # the run's scopes, as a caller states them
+    state = lifecycle.apply_run(empty, rows, lifecycle.Run(datetime(2026, 1, 1)), policy, _SCOPE, "recibido_en").drop("estado_anuncio")
+    after = lifecycle.apply_run(state, rows.where("false"), lifecycle.Run(datetime(2026, 1, 2)), policy, _SCOPE, "recibido_en", scopes)
+    return after.select(*_SCOPE, "enlace", "ausencias_consecutivas", "activo", "fecha_baja")
 
 
 @query(f"""
@@ -271,9 +311,8 @@ SELECT portal, tipo_operacion, {canon_sql('enlace')} AS canonico FROM anuncios W
 def q_staleness(s, d):
     """Active listings unseen for thirty days before the last run."""
     last = table(s, d, "corridas").agg(F.max("fecha").alias("last"))
-    rows = table(s, d, "anuncios").where("activo and enlace is not null").crossJoin(F.broadcast(last))  # one row
-    stale = rows.where(F.col("ultima_vez_visto") < F.col("last") - F.expr("interval 30 days"))
-    return stale.select(*_SCOPE, identity.canonical_link(F.col("enlace")).alias("canonico")).distinct()
+    rows = table(s, d, "anuncios").where("enlace is not null").crossJoin(F.broadcast(last))  # one row
+    return lifecycle.stale_listings(rows, F.col("last"), 30).select(*_SCOPE, identity.canonical_link(F.col("enlace")).alias("canonico")).distinct()
 
 
 @query(f"""
@@ -282,24 +321,14 @@ p AS (SELECT n.portal, n.tipo_operacion, f.enlace, min(n.n) AS primera FROM f JO
 SELECT f.corrida_id, count(*) AS n_total, count(*) FILTER (p.primera = n.n) AS n_nuevos, count(*) FILTER (p.primera < n.n) AS n_repetidos
 FROM f JOIN n USING (corrida_id) JOIN p ON p.portal = n.portal AND p.tipo_operacion = n.tipo_operacion AND p.enlace = f.enlace GROUP BY 1""")
 def q_run_log(s, d):
-    runs = _runs(s, d).select("corrida_id", *_SCOPE, "n")
-    rows = table(s, d, "fotos_anuncios").where("enlace is not null").select("corrida_id", identity.canonical_link(F.col("enlace")).alias("enlace")).distinct().join(runs, "corrida_id")
-    first = rows.groupBy(*_SCOPE, "enlace").agg(F.min("n").alias("primera"))
-    return rows.join(first, [*_SCOPE, "enlace"]).groupBy("corrida_id").agg(
-        F.count("*").alias("n_total"), F.count_if(F.col("primera") == F.col("n")).alias("n_nuevos"), F.count_if(F.col("primera") < F.col("n")).alias("n_repetidos")
-    )
+    return lifecycle.first_seen_counts(table(s, d, "fotos_anuncios"), _runs(s, d), _SCOPE)
 
 
 @query("""
-SELECT corrida_id, count(*) AS filas, coalesce(any_value(c.n_total), 0) AS n_total FROM fotos_anuncios f JOIN corridas c USING (corrida_id)
-WHERE (c.portal, c.id_fuente) IN (SELECT (portal, id_fuente) FROM corridas WHERE id_fuente IS NOT NULL GROUP BY portal, id_fuente, tipo_operacion HAVING count(*) = 1) GROUP BY corrida_id""")
+SELECT corrida_id, id_fuente, id_fuente IS NOT NULL AND row_number() OVER (PARTITION BY portal, tipo_operacion, id_fuente ORDER BY fecha, corrida_id) > 1 AS ya_registrada FROM corridas""")
 def q_rerun_check(s, d):
-    """Runs whose source id is the only one of its kind in their scope, with their rows."""
-    runs = table(s, d, "corridas")
-    single = runs.where("id_fuente is not null").groupBy("portal", "id_fuente", "tipo_operacion").agg(F.count("*").alias("k")).where("k = 1").select("portal", "id_fuente").distinct()
-    kept = runs.join(single, ["portal", "id_fuente"], "left_semi").select("corrida_id", F.coalesce("n_total", F.lit(0)).alias("n_total"))
-    rows = table(s, d, "fotos_anuncios").groupBy("corrida_id").agg(F.count("*").alias("filas"))
-    return rows.join(kept, "corrida_id")
+    """Runs whose source id their scope has had before."""
+    return lifecycle.known_source_ids(table(s, d, "corridas"), _SCOPE).select("corrida_id", "id_fuente", "ya_registrada")
 
 
 @query(f"""
@@ -308,8 +337,9 @@ SELECT DISTINCT {canon_sql('enlace')} AS canonico FROM anuncios WHERE {canon_sql
 def q_new_refs(s, d):
     """Listings whose link no pair holds."""
     pairs = table(s, d, "pares_duplicados")
-    known = pairs.select(identity.canonical_link(F.col("enlace_a")).alias("canonico")).unionAll(pairs.select(identity.canonical_link(F.col("enlace_b"))))
-    return table(s, d, "anuncios").select(identity.canonical_link(F.col("enlace")).alias("canonico")).distinct().join(known, "canonico", "left_anti")
+    known = pairs.select(identity.canonical_link(F.col("enlace_a")).alias("enlace_canon")).unionAll(pairs.select(identity.canonical_link(F.col("enlace_b"))))
+    found = table(s, d, "anuncios").select(identity.canonical_link(F.col("enlace")).alias("enlace_canon")).distinct()
+    return portal.new_references(found, known).select(F.col("enlace_canon").alias("canonico"))
 
 
 @query(f"""
@@ -323,20 +353,68 @@ def q_fx_asof(s, d):
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 3 <> 1 THEN floor(o_totalprice) END AS s, CASE WHEN o_orderkey % 3 <> 2 THEN floor(o_totalprice / 4) END AS u FROM orders),
-r AS (SELECT orderday AS fecha, 3.0 + (row_number() OVER (ORDER BY orderday) % 64) / 71.3 AS venta FROM (SELECT DISTINCT date_trunc('week', o_orderdate) AS orderday FROM orders))
-SELECT o_orderkey, s AS monto_s, u AS monto_u, r.venta AS tc, CASE WHEN s IS NULL AND u IS NOT NULL THEN round(u * r.venta, 2) END AS soles_estimado,
-  CASE WHEN u IS NULL AND s IS NOT NULL THEN round(s / r.venta, 2) END AS dolares_estimado FROM o ASOF LEFT JOIN r ON o.o_orderdate >= r.fecha""")
+WITH o AS (SELECT o_orderkey, o_orderdate, [0, 7, 11, 13][1 + o_custkey % 4] AS m2, CASE WHEN o_orderkey % 3 <> 1 THEN floor(o_totalprice) END AS s, CASE WHEN o_orderkey % 3 <> 2 THEN floor(o_totalprice / 4) END AS u FROM orders),
+r AS (SELECT orderday AS fecha, 3.0 + (row_number() OVER (ORDER BY orderday) % 64) / 71.3 AS venta FROM (SELECT DISTINCT date_trunc('week', o_orderdate) AS orderday FROM orders)),
+e AS (SELECT o.*, r.fecha, r.venta, CASE WHEN s IS NULL AND u IS NOT NULL THEN round_even(u * r.venta, 2) END AS es, CASE WHEN u IS NULL AND s IS NOT NULL THEN round_even(s / r.venta, 2) END AS eu FROM o ASOF LEFT JOIN r ON o.o_orderdate >= r.fecha)
+SELECT o_orderkey, s AS monto_s, u AS monto_u, venta AS tc, fecha AS tc_fecha, CASE WHEN venta IS NOT NULL THEN 'venta' END AS tc_modo, es AS soles_estimado, eu AS dolares_estimado,
+  concat_ws(',', CASE WHEN es IS NOT NULL THEN 'monto_s' END, CASE WHEN eu IS NOT NULL THEN 'monto_u' END) AS imputado,
+  CASE WHEN m2 > 0 THEN round_even(coalesce(s, es) / m2, 2) END AS soles_por_m2, CASE WHEN m2 > 0 THEN round_even(coalesce(u, eu) / m2, 2) END AS dolares_por_m2 FROM e""")
 def q_fx_convert(s, d):
     orders = table(s, d, "orders")
     rows = orders.select(
         "o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 3 != 1, F.floor(F.col("o_totalprice")).cast("double")).alias("monto_s"),
-        F.when(F.col("o_orderkey") % 3 != 2, F.floor(F.col("o_totalprice") / 4).cast("double")).alias("monto_u"),
+        F.when(F.col("o_orderkey") % 3 != 2, F.floor(F.col("o_totalprice") / 4).cast("double")).alias("monto_u"), F.get(F.array(*[F.lit(x) for x in (0, 7, 11, 13)]), (F.col("o_custkey") % 4).cast("int")).alias("m2"),
     )
     weeks = orders.select(F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("fecha")).distinct()
     n = F.row_number().over(Window.orderBy("fecha"))  # one row a week
     rates = weeks.select("fecha", (F.lit(3.0) + (n % 64) / 71.3).alias("venta")).withColumn("compra", F.col("venta"))
-    return fx.convert_amounts(rows, rates, "o_orderdate", "monto_s", "monto_u").select("o_orderkey", "monto_s", "monto_u", "tc", "soles_estimado", "dolares_estimado")
+    return fx.convert_amounts(rows, rates, "o_orderdate", "monto_s", "monto_u", "m2").drop("o_orderdate", "m2").withColumn("imputado", F.array_join("imputado", ","))
+
+
+_CACHE = """c AS (SELECT CAST(fecha AS date) AS fecha, compra, venta FROM tipo_cambio_bcrp WHERE series_codigos = 'PXU-4101' QUALIFY row_number() OVER (PARTITION BY CAST(fecha AS date) ORDER BY fecha DESC) = 1),
+g AS (SELECT CAST(fecha AS date) AS fecha, compra, venta FROM tipo_cambio_bcrp WHERE series_codigos = 'PXU-4102' QUALIFY row_number() OVER (PARTITION BY CAST(fecha AS date) ORDER BY fecha DESC) = 1)"""
+_CACHED = "fecha date, compra double, venta double, promedio double, fuente string, series_codigos string, descargado_en timestamp_ntz"
+_AT = "2026-01-01 00:00:00"
+
+
+def _rate_cache(s: SparkSession, d: str, series: str) -> DataFrame:
+    """A series as the cache has it."""
+    quotes = table(s, d, "tipo_cambio_bcrp").where(F.col("series_codigos") == series).select("fecha", "compra", "venta")
+    return fx.cached_rates(s.createDataFrame([], _CACHED), quotes, series, "servicio", F.lit(_AT).cast("timestamp_ntz"))
+
+
+@query(f"""
+WITH {_CACHE} SELECT coalesce(g.fecha, c.fecha) AS fecha, CASE WHEN g.fecha IS NULL THEN c.compra ELSE g.compra END AS compra, CASE WHEN g.fecha IS NULL THEN c.venta ELSE g.venta END AS venta,
+  CASE WHEN g.fecha IS NULL THEN 'PXU-4101' ELSE 'PXU-4102' END AS series_codigos, 'servicio' AS fuente FROM c FULL JOIN g ON c.fecha = g.fecha""")
+def q_fx_cache(s, d):
+    """A cache of one series over which another one is saved."""
+    quotes = table(s, d, "tipo_cambio_bcrp").where("series_codigos = 'PXU-4102'").select("fecha", "compra", "venta")
+    both = fx.cached_rates(_rate_cache(s, d, "PXU-4101"), quotes, "PXU-4102", "servicio", F.lit(_AT).cast("timestamp_ntz"))
+    return both.select("fecha", "compra", "venta", "series_codigos", "fuente")
+
+
+@query("""
+WITH w AS (SELECT DISTINCT serie_tc, CAST(ultima_vez_visto AS date) AS dia FROM anuncios WHERE serie_tc IS NOT NULL AND ultima_vez_visto IS NOT NULL),
+f AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM tipo_cambio_bcrp t WHERE t.series_codigos = w.serie_tc AND CAST(t.fecha AS date) = w.dia))
+SELECT serie_tc, min(dia) - 10 AS desde, max(dia) AS hasta, count(*) AS dias FROM f GROUP BY serie_tc""")
+def q_fx_missing_range(s, d):
+    """Days to ask a service for, of every series, for the days on which listings were last seen."""
+    return fx.missing_range(table(s, d, "anuncios"), table(s, d, "tipo_cambio_bcrp"), "ultima_vez_visto", 10, {"serie_tc": "series_codigos"})
+
+
+@query(f"""
+WITH {_CACHE}, w AS (SELECT DISTINCT CAST(ultima_vez_visto AS date) AS dia FROM anuncios WHERE ultima_vez_visto IS NOT NULL),
+f AS (SELECT min(dia) - 10 AS a, max(dia) AS z FROM w WHERE dia NOT IN (SELECT fecha FROM c)),
+t AS (SELECT fecha, compra, venta FROM g, f WHERE fecha BETWEEN a AND z UNION ALL SELECT fecha, compra, venta FROM c, f WHERE fecha NOT IN (SELECT fecha FROM g WHERE g.fecha BETWEEN a AND z))
+SELECT w.dia, t.fecha AS tc_fecha, t.venta FROM w ASOF LEFT JOIN t ON w.dia >= t.fecha""")
+def q_fx_by_day(s, d):
+    """The rate of each day on which listings were last seen, from a cache and a service that has another series."""
+    def service(first, last):
+        day = F.to_date("fecha")
+        return table(s, d, "tipo_cambio_bcrp").where("series_codigos = 'PXU-4102'").where(day.between(F.lit(first), F.lit(last))).select("fecha", "compra", "venta")
+
+    found, _ = fx.rates_by_day(table(s, d, "anuncios"), "ultima_vez_visto", _rate_cache(s, d, "PXU-4101"), service, "PXU-4102", "servicio", F.lit(_AT).cast("timestamp_ntz"))
+    return found.select("dia", "tc_fecha", "venta")
 
 
 @query("SELECT tc_id, fecha, venta FROM tipo_cambio_bcrp WHERE CAST(fecha AS date) BETWEEN date '2024-01-01' AND date '2024-06-30'")
@@ -361,8 +439,7 @@ SELECT distrito, arg_max(nse, (n, -o)) AS nse, CAST(sum(n) AS bigint) AS n FROM
 def q_lookup_mode(s, d):
     """The commonest label of every district; of equals the one that comes first."""
     rows = table(s, d, "lugares_nse").select(lookup.place_text(F.col("distrito")).alias("distrito"), lookup.label(F.col("nse")).alias("nse"), F.col("lugar_id").alias("orden")).where("distrito <> '' and nse is not null")
-    per = rows.groupBy("distrito", "nse").agg(F.count("*").alias("n"), F.min("orden").alias("o"))
-    return per.groupBy("distrito").agg(F.max_by("nse", F.struct("n", -F.col("o"))).alias("nse"), F.sum("n").alias("n"))
+    return lookup.commonest(rows, ["distrito"], "nse", "orden").select("distrito", "nse", "n")
 
 
 def _area(s: SparkSession, d: str) -> lookup.LookupConfig:
@@ -373,19 +450,6 @@ def _area(s: SparkSession, d: str) -> lookup.LookupConfig:
     return lookup.LookupConfig(tuple(names.values()), {r["a"]: names[r["distrito_id"]] for r in aliases if r["distrito_id"] in names})
 
 
-@query()
-def q_lookup_index(s, d):
-    local, everywhere = lookup.build_index(table(s, d, "lugares_nse"), "lugar_id", _area(s, d))
-    return local.unionByName(everywhere.withColumn("distrito", F.lit(None).cast("string")))
-
-
-@query()
-def q_lookup_cascade(s, d):
-    config = _area(s, d)
-    index = lookup.build_index(table(s, d, "lugares_nse"), "lugar_id", config)
-    return lookup.classify(listings(s, d), index, "anuncio_id", ["ubicacion", "nse_match"], "distrito", config)
-
-
 @query("""
 WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS w, p_retailprice AS v FROM part),
 j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.w AS wa, b.w AS wb, a.v AS va, b.v AS vb FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1)
@@ -521,24 +585,27 @@ def q_pending(s, d):
 
 
 @query("""
-SELECT portal, version_scraper, count(*) AS filas, count(*) FILTER (activo) AS activas, count(DISTINCT anuncio_id) AS anuncios, max(ausencias_consecutivas) AS ausencias FROM anuncios GROUP BY ALL""")
+WITH p AS (SELECT corrida_id, portal, tipo_operacion, count(*) FILTER (activo) AS tarjetas, count(*) AS intentos, count(titulo) AS exitos, count(precio) AS matcheados, CASE WHEN corrida_id % 3 > 0 THEN corrida_id % 3 = 1 END AS estado FROM fotos_anuncios GROUP BY ALL)
+SELECT portal, tipo_operacion, count(*) AS paginas_visitadas, count(*) FILTER (tarjetas > 0) AS paginas_con_tarjetas, count(*) FILTER (tarjetas = 0) AS paginas_sin_tarjetas, CAST(sum(tarjetas) AS bigint) AS tarjetas_totales,
+  CAST(sum(intentos) AS bigint) AS detalle_intentos, CAST(sum(exitos) AS bigint) AS detalle_exitos, CAST(0 AS bigint) AS postings_redux_totales, CAST(sum(matcheados) AS bigint) AS postings_matcheados,
+  count(*) FILTER (estado) AS redux_paginas_ok, count(*) FILTER (NOT estado) AS redux_paginas_fallidas, true AS redux_requerido, round(CASE WHEN sum(tarjetas) > 0 THEN sum(matcheados) / sum(tarjetas) END, 4) AS ratio_match_redux_dom FROM p GROUP BY ALL""")
 def q_diagnostics(s, d):
-    return table(s, d, "anuncios").groupBy("portal", "version_scraper").agg(
-        F.count("*").alias("filas"), F.count_if("activo").alias("activas"), F.countDistinct("anuncio_id").alias("anuncios"), F.max("ausencias_consecutivas").alias("ausencias")
-    )
+    """Counters of each scope, every snapshot being a page."""
+    state = F.when(F.col("corrida_id") % 3 > 0, F.col("corrida_id") % 3 == 1)
+    pages = table(s, d, "fotos_anuncios").groupBy("corrida_id", *_SCOPE).agg(
+        F.count_if("activo").alias("tarjetas"), F.count("*").alias("intentos"), F.count("titulo").alias("exitos"), F.count("precio").alias("matcheados")
+    ).withColumns({"estado": state, "estrategia": F.lit("navent")})
+    return diagnostics.run_diagnostics(pages, _SCOPE)
 
 
 @query("SELECT event_type, CAST(date_trunc('day', ts) AS timestamp) AS dia, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_windows(s, d):
     """Events by day, as a stream that is read to its end."""
-    from tablon.streaming.runs import windowed_counts
-
-    name = f"dias_{abs(hash(d)) % 10**9}"
     stream = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/event[s].parquet")
     counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
-    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return s.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("dia"), "n")
+    folder = shared_folder(s, "dias")
+    written_counts(counts, folder).awaitTermination()
+    return s.read.parquet(f"{folder}/conteos").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("dia"), "n")
 
 
 @query("""
@@ -565,8 +632,7 @@ def q_rate_series(s, d):
     period = F.struct(F.date_format("fecha", "dd.MM.yyyy").alias("x"), F.date_format("fecha", "yyyy-MM-dd").alias("name"), F.array(F.coalesce(F.col("compra").cast("string"), F.lit("n.d.")), F.col("venta").cast("string")).alias("values"))
     rows = table(s, d, "tipo_cambio_bcrp").groupBy("series_codigos", F.date_format("fecha", "yyyy-MM").alias("mes")).agg(F.collect_list(period).alias("periods"))
     answers = rows.select("series_codigos", F.concat(F.to_json(F.struct("periods")), F.lit(" <!-- fin -->")).alias("json"))
-    series = [r[0] for r in answers.select("series_codigos").distinct().collect()]  # a few series
-    return accumulate.union_all([readers.rate_series(answers.where(F.col("series_codigos") == x), "json").select(F.lit(x).alias("series_codigos"), "fecha", "compra", "venta") for x in sorted(series)])
+    return readers.rate_series(answers, "json", ["series_codigos"])
 
 
 @query("""
@@ -585,5 +651,4 @@ SELECT CASE WHEN mal THEN 'degradadas' ELSE 'vigentes' END AS destino, count(*)
 def q_degraded_route(s, d):
     rows = table(s, d, "anuncios")
     verdict = quality.quality_gate(rows, {"moneda": 0.66}, by=["portal"]).select("portal", "apta")
-    routed = rows.join(verdict, "portal").withColumn("destino", F.when(F.col("apta"), "vigentes").otherwise("degradadas"))
-    return routed.groupBy("destino").agg(F.count("*").alias("filas"), F.countDistinct("portal").alias("portales"))
+    return pipeline.routed(rows, verdict, ["portal"]).groupBy("destino").agg(F.count("*").alias("filas"), F.countDistinct("portal").alias("portales"))

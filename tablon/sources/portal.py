@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tablon.operators.embedded import find_key, page_state
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -22,7 +24,9 @@ class Reference:
 
 
 class Portal(Protocol):
-    """What a portal's module offers. No client is part of this package; nothing here uses a network."""
+    """What a portal's module offers. No client is part of this package; nothing here uses a network. A portal of many
+    listings also has ``pages(operation) -> int`` and ``discover_page(operation, n)``: its pages are then the partitions,
+    and the driver holds no references."""
 
     fuente: str
 
@@ -44,6 +48,11 @@ class _Slice(InputPartition):
     refs: list
 
 
+@dataclass
+class _Page(InputPartition):
+    number: int
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -55,14 +64,17 @@ class _Reader(DataSourceReader):
         module, _, cls = name.rpartition(".")
         return getattr(__import__(module, fromlist=[cls]), cls)()
 
-    def partitions(self) -> list[_Slice]:
-        refs = list(self._portal().discover(self.options.get("operacion", "")))
+    def partitions(self) -> list[InputPartition]:
+        portal = self._portal()
+        if hasattr(portal, "pages"):  # pages of a listing are discovered where they are read
+            return [_Page(n) for n in range(1, portal.pages(self.options.get("operacion", "")) + 1)] or [_Slice([])]
+        refs = list(portal.discover(self.options.get("operacion", "")))
         size = int(self.options.get("tramo", "100"))
         return [_Slice(refs[i : i + size]) for i in range(0, len(refs), size)] or [_Slice([])]
 
-    def read(self, part: _Slice) -> Iterator[tuple]:
+    def read(self, part: InputPartition) -> Iterator[tuple]:
         portal = self._portal()
-        for ref in part.refs:
+        for ref in portal.discover_page(self.options.get("operacion", ""), part.number) if isinstance(part, _Page) else part.refs:
             found = portal.detail(ref)
             if found is not None:
                 yield (ref.enlace, ref.fuente, ref.id_externo, ref.operacion, json.dumps(found, ensure_ascii=False, default=str))
@@ -82,6 +94,26 @@ class PortalSource(DataSource):
         return _Reader(dict(self.options))
 
 
+def listing_references(pages: DataFrame, html: str, key: str, fields: dict[str, str], fallback: str) -> DataFrame:
+    """References on listing pages, with what they came from: ``pages`` without ``html``, with ``posicion``, ``enlace`` and
+    the ``fields`` (name -> path in a posting), ``via`` (``estado`` or ``html``).
+
+    Postings are the list under ``key`` in the page's embedded state; a page without it is searched for the pattern
+    ``fallback``, whose group 1 is a link. Repeats within a page stay; pages without any reference give no row.
+    ``fields`` must have ``enlace``."""
+    held = [c for c in pages.columns if c != html]
+    postings = F.from_json(find_key(key)(page_state(F.col(html))), "array<string>")  # each posting stays JSON
+    links = F.regexp_extract_all(html, F.lit(fallback), F.lit(1))
+    cut = pages.select(*held, postings.alias("__p"), links.alias("__l"))
+    good = F.size(F.coalesce("__p", F.array().cast("array<string>"))) > 0
+    parts = F.when(good, F.transform("__p", lambda p: F.struct(p.alias("x"), F.lit("estado").alias("via")))).otherwise(
+        F.transform("__l", lambda u: F.struct(F.to_json(F.struct(u.alias("enlace"))).alias("x"), F.lit("html").alias("via")))
+    )
+    each = cut.select(*held, F.posexplode(parts).alias("posicion", "r"))
+    stated = {n: F.when(F.col("r.via") == "html", F.get_json_object("r.x", "$." + n)).otherwise(F.get_json_object("r.x", path)) for n, path in fields.items()}
+    return each.select(*held, "posicion", *[c.alias(n) for n, c in stated.items()], F.col("r.via").alias("via")).where("enlace is not null")
+
+
 def new_references(found: DataFrame, known: DataFrame) -> DataFrame:
     """References whose canonical link (``enlace_canon``) isn't known yet."""
     return found.join(known.select("enlace_canon"), "enlace_canon", "left_anti")

@@ -223,7 +223,7 @@ def test_blocks_are_by_the_first_longest_word(spark):
     assert {tuple(r) for r in duplicates.similar_pairs(df, "id", "e", "t", "r", "v").collect()} == signal(rows) != set()
 
 
-def test_groups_by_the_full_signal(spark, tmp_path):
+def test_groups_by_the_full_signal(spark, tmp_path):  # checks q_dup_signal_groups
     from tablon.plans.reference_queries import QUERIES
 
     draw = random.Random(6)
@@ -243,7 +243,7 @@ def test_groups_by_the_full_signal(spark, tmp_path):
     assert full == want and len(roots) > 5 and full != reduced
 
 
-def test_q_similarity_rates_all_parts(spark, tmp_path):
+def test_q_similarity_rates_all_parts(spark, tmp_path):  # checks q_similarity
     from tablon.plans.reference_queries import QUERIES
 
     # Copies; brands that are alike and ones that aren't; equal names in other price ranges.
