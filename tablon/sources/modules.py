@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,13 @@ def _imports(sources: pd.Series) -> pd.Series:
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """``modulo, fuente``: every ``.py`` file below ``root`` with its dotted name."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).text(root)
-    base = root.rstrip("/") + "/"
-    path = F.input_file_name()
-    below = F.substring_index(F.regexp_replace(path, "^file:/+", "/"), base, -1)
-    return files.select(F.regexp_replace(F.regexp_replace(below, r"\.py$", ""), "/", ".").alias("modulo"), F.col("value").alias("fuente"))
+    """``modulo, fuente``: every ``.py`` file below ``root`` with its dotted name. A tree of sources is small and lies beside the
+    driver, which reads it; Spark's own listing passes over names such as ``__init__.py``."""
+    rows = []
+    for path in sorted(Path(root).rglob("*.py")):
+        name = ".".join(path.relative_to(root).with_suffix("").parts)
+        rows.append((name, path.read_text(encoding="utf-8", errors="replace")))
+    return spark.createDataFrame(rows, "modulo string, fuente string")
 
 
 def imported_names(files: DataFrame) -> DataFrame:
