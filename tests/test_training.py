@@ -228,4 +228,5 @@ class TestSnapshots:
             old, new = ({k: v for (r, k), v in seen.items() if r == x} for x in (n - 1, n))
             want += [(n, k, "alta") for k in new.keys() - old] + [(n, k, "baja") for k in old.keys() - new] + [(n, k, "cambio") for k in new if k in old and old[k] != new[k]]
         runs = [(i, "p" if i < 5 else "q", i + 1) for i in range(10)]
-        assert self.diff(spark, rows, runs) == sorted(want)
+        for more in ({}, {"broadcast_keys": 3}, {"buckets": 1}):
+            assert self.diff(spark, rows, runs, **more) == sorted(want)
