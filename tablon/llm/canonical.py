@@ -105,7 +105,7 @@ def unedited_share(a: pd.Series, b: pd.Series) -> pd.Series:
 def entry_forms(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     """``form, letters, distrito_id`` (``form`` as it sounds): the ways in which an entry may be written: its name, also with its
     province before or behind, with the first word's initial, cut after any word where that is only
-    its own, and its aliases."""
+    its own, and its aliases. Forms that sound alike stay apart, so their letters can tell their entries."""
     e = entries.select("distrito_id", plain_words(F.col("nombre")).alias("w"), plain_words(F.col("provincia")).alias("p"))
     # Cuts of one, two, ... words; those that several entries share say nothing.
     cuts = e.select("distrito_id", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"), "w").where("k < size(w)")
@@ -122,10 +122,8 @@ def entry_forms(entries: DataFrame, aliases: DataFrame) -> DataFrame:
         .unionAll(own.select(F.col("c").alias("form"), "distrito_id"))
         .unionAll(aliases.select(plain_words(F.col("alias_texto")).alias("form"), "distrito_id"))
     )
-    letters = forms.select(F.array_join("form", "").alias("letters"), "distrito_id").where("letters <> ''")
-    return letters.groupBy(sound(F.col("letters")).alias("form")).agg(
-        F.min(F.struct("distrito_id", "letters")).alias("x")
-    ).select("form", "x.letters", "x.distrito_id")
+    letters = forms.select(F.array_join("form", "").alias("letters"), "distrito_id").where("letters <> ''").distinct()
+    return letters.select(sound(F.col("letters")).alias("form"), "letters", "distrito_id")
 
 
 def map_to_entries(values: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -135,11 +133,11 @@ def map_to_entries(values: DataFrame, entries: DataFrame, aliases: DataFrame) ->
     one with the greatest sum of Jaccard similarity and unedited share (of letters or sounds) is kept
     (ties: the least ``distrito_id``) if either is high enough. A value without candidates is unlisted.
     """
-    sounds = values.select("letters", sound(F.col("letters")).alias("sound"))
-    left = sounds.select(F.col("sound").alias("id"), grams(F.col("sound")).alias("tokens")).distinct()
-    forms = entry_forms(entries, aliases)
-    right = forms.select(F.col("form").alias("id"), grams(F.col("form")).alias("tokens"))
-    found = cut_lineage(similarity_join(left, right, CANDIDATE))
+    sounds = cut_lineage(values.select("letters", sound(F.col("letters")).alias("sound")))
+    left = sounds.select(F.col("sound").alias("id")).distinct().select("id", grams(F.col("id")).alias("tokens"))
+    forms = cut_lineage(entry_forms(entries, aliases))
+    right = forms.select(F.col("form").alias("id")).distinct().select("id", grams(F.col("id")).alias("tokens"))
+    found = similarity_join(left, right, CANDIDATE)
     found = found.join(forms.withColumnRenamed("letters", "form_letters"), F.col("right_id") == F.col("form"))
     found = found.join(sounds, F.col("left_id") == F.col("sound"))
     kept = F.greatest(unedited_share(F.col("sound"), F.col("form")), unedited_share(F.col("letters"), F.col("form_letters")))
@@ -161,7 +159,8 @@ def listings_entries(listings: DataFrame, entries: DataFrame, aliases: DataFrame
     spelling costs nothing; spellings meet their listings by a join on the text as typed. Listings
     delivered twice count once. An empty list leaves all unlisted."""
     once = listings.select("anuncio_id", "distrito").where(F.trim("distrito") != "").dropDuplicates(["anuncio_id"])
-    spelled = once.select("distrito").distinct().select("distrito", F.array_join(plain_words(F.col("distrito")), "").alias("letters"))
+    # Spellings, far fewer than listings, are written: what follows reads them several times.
+    spelled = cut_lineage(once.select("distrito").distinct().select("distrito", F.array_join(plain_words(F.col("distrito")), "").alias("letters")))
     mapped = map_to_entries(spelled.select("letters").distinct(), entries, aliases)
     by_spelling = spelled.join(mapped, "letters").select("distrito", "distrito_id")
     return once.join(by_spelling, "distrito").select("anuncio_id", "distrito_id")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablon.session import cut_lineage
 
@@ -37,14 +38,27 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return linked.unionAll(minima.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges, written, with their number and a hash of all of them, which are told while they are written."""
+    seen = Observation()
+    written = cut_lineage(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")))
+    told = seen.get
+    return written, (told["n"], int(told["h"] or 0))
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with their vertices as bigints in the vertices' order, and the table of both (``id, vertex``). Vertices
+    are ordered by ranges, so partitions hold ascending ones, as their numbers are."""
+    vertices = edges.select("u").unionAll(edges.select("v")).distinct().orderBy("u")
+    names = cut_lineage(vertices.select(F.monotonically_increasing_id().alias("id"), F.col("u").alias("vertex")))
+    ids = edges.join(names.toDF("iu", "u"), "u").join(names.toDF("iv", "v"), "v").select(F.col("iu").alias("u"), F.col("iv").alias("v"))
+    return ids, names
 
 
 def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``vertex, component``: every vertex of ``pairs`` with the least vertex that it is linked to,
-    directly or through others. Vertices may be of any type that can be ordered.
+    directly or through others. Vertices may be of any type that can be ordered; others than bigints are
+    numbered in their order first, so that rounds shuffle two numbers an edge.
 
     Large-star and small-star rewrites alternate, each a shuffle by vertex, until the edges are
     those of the round before: then every vertex points at its component's minimum. Rounds grow
@@ -53,16 +67,22 @@ def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     and a vertex of self pairs only is alone and doesn't come out. No pairs give no rows.
     """
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(edges)
+    plain = isinstance(edges.schema["u"].dataType, T.LongType) and isinstance(edges.schema["v"].dataType, T.LongType)
+    names = None
+    if not plain:
+        edges, names = _numbered(cut_lineage(edges))
+    edges, before = _kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
-        edges = cut_lineage(_small_star(_large_star(edges, before[0]), before[0]))
-        now = _state(edges)
+        edges, now = _kept(_small_star(_large_star(edges, before[0]), before[0]))
         if now == before:
             break
         before = now
     stars = edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    return stars.unionAll(stars.select(F.col("component").alias("vertex"), "component").distinct())
+    labels = stars.unionAll(stars.select(F.col("component").alias("vertex"), "component").distinct())
+    if names is None:
+        return labels
+    own, least = names.toDF("i", "vertex"), names.toDF("j", "component")
+    return labels.toDF("i", "j").join(own, "i").join(least, "j").select("vertex", "component")
 
 
 def listing_groups(listings: DataFrame, pairs: DataFrame, canonical) -> DataFrame:

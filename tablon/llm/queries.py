@@ -32,6 +32,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         .where("serie_tc is not null and fecha_publicacion is not null").dropDuplicates(["anuncio_id"])
     )
     left = normal_instants(listings, table(spark, d, "portales"), ["fecha_publicacion"])
+    # The instant is that of p2, in whole seconds.
+    left = left.withColumn("fecha_publicacion_us", F.floor(F.col("fecha_publicacion_us") / 1_000_000).cast("bigint") * 1_000_000)
     right = table(spark, d, "tipo_cambio_bcrp").select(
         "tc_id", "series_codigos", F.unix_micros(F.col("fecha").cast("timestamp")).alias("us")
     )

@@ -79,6 +79,11 @@ class TestComponents:
         star = [(1000, i) for i in range(100)] + [(5, 1000), (1000, 5), (7, 7), (None, 1)]
         assert set(self.groups(spark, star).values()) == {0}
 
+    def test_vertices_of_other_types(self, spark):
+        df = spark.createDataFrame([("b", "z"), ("z", "a"), ("d", "c"), ("e", None), ("f", "f")], "a string, b string")
+        got = {r["vertex"]: r["component"] for r in components.connected_components(df, "a", "b").collect()}
+        assert got == {"a": "a", "b": "a", "z": "a", "c": "c", "d": "c"}
+
     def test_nothing(self, spark):
         assert self.groups(spark, []) == {} and self.groups(spark, [(1, 1), (None, 2)]) == {}
 
@@ -119,6 +124,18 @@ class TestNearest:
         assert nearest.nearest_in_time(left, right.limit(0), ("id", "e", "us"), ("k", "e", "us"), 20).isEmpty()
 
 
+def test_instants_count_in_whole_seconds(spark, tmp_path):
+    from datetime import datetime
+
+    from tablon.llm.queries import p6_found
+
+    listings = [(1, "p", "T", "2026-01-05T12:00:00.700Z"), (2, "p", "T", "2026-01-05T12:00:01Z"), (3, "p", None, "2026-01-05T12:00:00Z"), (1, "p", "T", "2026-01-05T12:00:00.700Z")]
+    spark.createDataFrame(listings, "anuncio_id long, portal string, serie_tc string, fecha_publicacion string").write.parquet(f"{tmp_path}/anuncios.parquet")
+    spark.createDataFrame([("p", "America/Lima", "DMA")], "portal string, zona_horaria string, orden_fecha string").write.parquet(f"{tmp_path}/portales.parquet")
+    spark.createDataFrame([(7, "T", datetime(2026, 1, 5))], "tc_id long, series_codigos string, fecha timestamp_ntz").write.parquet(f"{tmp_path}/tipo_cambio_bcrp.parquet")
+    assert [tuple(r) for r in p6_found(spark, str(tmp_path)).collect()] == [(1, 7)]
+
+
 class TestSetJoin:
     @pytest.mark.parametrize("threshold", [0.25, 0.5, 0.8, 1.0])
     def test_against_brute_force(self, spark, threshold):
@@ -126,9 +143,11 @@ class TestSetJoin:
         make = lambda n: [(f"{n}{i}", sorted({f"t{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 9)) if x < 40})) for i in range(60)]
         a, b = make("a"), make("b")
         schema = "id string, tokens array<string>"
-        got = setjoin.similarity_join(spark.createDataFrame([*a, (None, ["t1"])], schema), spark.createDataFrame(b, schema), threshold)
+        left, right = spark.createDataFrame([*a, (None, ["t1"])], schema), spark.createDataFrame(b, schema)
         want = {(i, j) for (i, x), (j, y) in itertools.product(a, b) if x and y and len({*x} & {*y}) / len({*x} | {*y}) >= threshold}
-        assert {(r[0], r[1]) for r in got.collect()} == want
+        for small in (0, 1000):  # shuffled, and broadcast
+            got = setjoin.similarity_join(left, right, threshold, small).collect()
+            assert {(r[0], r[1]) for r in got} == want and len(got) == len(want)
 
     def test_grams(self, spark):
         df = spark.createDataFrame([("aba",), ("a",), ("",), (None,)], "t string")
