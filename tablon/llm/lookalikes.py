@@ -9,6 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablon.llm.pairs import member_pairs
 from tablon.session import cut_lineage
 
 # Letters of other scripts, and a few signs, that look like the character below them.
@@ -96,6 +97,29 @@ def _tables() -> tuple[dict[str, str], dict[str, str], str, str]:
     return apart, together, _class(attached), _class({c for c in usual if c not in special and c not in attached})
 
 
+@lru_cache(maxsize=1)
+def published_lookalikes(spark: SparkSession) -> dict[str, str]:
+    """Cased letters of scripts that LOOKALIKES doesn't list, and Lisu ones, that the published table of confusable
+    characters (Unicode's, from the ICU library that comes with Spark) has as a form of one ASCII letter. Letters of
+    which that table makes one form of several (I and l) aren't told apart by it, so they are left out."""
+    check = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    ascii_letters = [chr(c) for c in range(0x41, 0x7B) if chr(c).isalpha()]
+    forms: dict[str, list[str]] = {}
+    for x in [*ascii_letters, *"01|"]:
+        forms.setdefault(check.getSkeleton(0, x), []).append(x)
+    single = {k: v[0] for k, v in forms.items() if len(v) == 1}
+    listed = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "FULLWIDTH")
+    out = {}
+    for code in range(0x370, 0x1F000):
+        c = chr(code)
+        cased = unicodedata.category(c) in ("Lu", "Ll") or 0xA4D0 <= code <= 0xA4FF
+        if cased and not unicodedata.decomposition(c) and not unicodedata.name(c, "LATIN").startswith(listed):
+            form = single.get(check.getSkeleton(0, c))
+            if form:
+                out[c] = form
+    return out
+
+
 def how_text(decomposition: str) -> str:
     return "".join(chr(int(x, 16)) for x in decomposition.split())
 
@@ -105,6 +129,7 @@ def _mapping(spark: SparkSession) -> DataFrame:
     about 16,000 rows, most of them Han compatibility forms."""
     apart = _tables()[0]
     marks = {chr(c) for c in _all_characters() if unicodedata.combining(chr(c))}
+    apart = apart | published_lookalikes(spark)
     rows = [
         (c, [(unicodedata.combining(x), x) for x in apart.get(c, c)]) for c in {*apart, *marks}
     ]
@@ -132,43 +157,54 @@ def _recompose(parts: Column) -> Column:
 
 
 def canonical_texts(texts: DataFrame) -> DataFrame:
-    """``key, canon`` for the distinct texts of ``texts`` (``key, text``; key is one text's own).
-
-    Texts are cut into positioned pieces: runs that are in their form already stay whole, every
-    other character comes with the marks behind it and is exploded to code points. These meet
-    the mapping (decomposition, width, spaces, look-alikes; broadcast, its size is Unicode's) by an
-    equi-join, are ordered by combining class, recomposed and joined to texts again. All steps after
-    the first keep the partitioning by text, so nothing but the texts is shuffled.
-    Long texts are rows of many pieces, not one row in Python. Conjoining Korean letters
-    stay as they are.
+    """``key, canon`` for the distinct texts of ``texts`` (``key, text``; key is one text's own), as ``unusual_texts`` gives them.
+
+    They are cut into positioned pieces: runs that are in their
+    form already stay whole, every other character comes with the marks behind it. Distinct pieces of this kind
+    (``piece_forms``) are exploded to code points and recomposed once, however often they occur, and meet their
+    places by an equi-join; texts are put together again by position. Long texts are rows of many pieces, not one row
+    in Python. Conjoining Korean letters stay as they are.
     """
-    spark = texts.sparkSession
     _, _, attached, usual = _tables()
+    others = cut_lineage(texts)  # read twice below
     attached = rf"[\p{{M}}\p{{Cf}}&&[{attached}]]"  # the general classes are told apart first, and quickly
     joiners = rf"\x{{200D}}(?<=[{EMOJI}]\x{{FE0F}}?\x{{200D}})(?=[{EMOJI}])"
     marked = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), joiners, JOINER)
     pieces = F.regexp_extract_all(marked, F.lit(rf"(?s)[{usual}]+(?!{attached})|.{attached}*"), F.lit(0))
-    cut = texts.select("key", F.posexplode(pieces).alias("pos", "piece"))
-    simple = F.col("piece").rlike(rf"^[{usual}]+$")
-    chars = F.when(simple, F.array("piece")).otherwise(F.split("piece", ""))
-    points = cut.select("key", "pos", F.posexplode(chars).alias("i", "cp"))
-    mapping = F.broadcast(_mapping(spark))
+    cut = others.select("key", F.posexplode(pieces).alias("pos", "piece"))
+    cut = cut.select("key", "pos", "piece", F.when(~F.col("piece").rlike(rf"^[{usual}]"), F.col("piece")).otherwise(F.when(F.col("piece").rlike(rf"{attached}$"), F.col("piece"))).alias("odd"))
+    forms = cut_lineage(piece_forms(cut.select(F.col("odd").alias("piece")).where("piece is not null").distinct())).toDF("odd", "form")
+    few = forms.limit(FORMS_SENT + 1).count() <= FORMS_SENT
+    placed = cut.join(F.broadcast(forms) if few else forms, "odd", "left").select("key", F.struct("pos", F.coalesce("form", "piece").alias("s")).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "")
+    return placed.groupBy("key").agg(F.regexp_replace(whole, JOINER, "‍").alias("canon"))
+
+
+FORMS_SENT = 100_000  # distinct pieces whose forms are broadcast, after a count; beyond, they are joined by a shuffle
+
+
+def piece_forms(pieces: DataFrame) -> DataFrame:
+    """``piece, form`` of distinct pieces: each a character and the marks behind it. Their positioned code points meet
+    the mapping (decomposition, width, spaces, look-alikes; broadcast, its size is Unicode's) by an equi-join, are ordered
+    by combining class and recomposed."""
+    mapping = F.broadcast(_mapping(pieces.sparkSession))
+    points = pieces.select("piece", F.posexplode(F.split("piece", "")).alias("i", "cp"))
     parts = (
         points.join(mapping, "cp", "left")
-        .select("key", "pos", "i", F.coalesce("parts", F.array(F.struct(F.lit(0).alias("ccc"), F.col("cp").alias("ch")))).alias("parts"))
-        .select("key", "pos", F.transform("parts", lambda p, n: F.struct(p["ccc"].alias("ccc"), F.col("i").alias("i"), n.alias("n"), p["ch"].alias("ch"))).alias("parts"))
+        .select("piece", "i", F.coalesce("parts", F.array(F.struct(F.lit(0).alias("ccc"), F.col("cp").alias("ch")))).alias("parts"))
+        .select("piece", F.transform("parts", lambda p, n: F.struct(p["ccc"].alias("ccc"), F.col("i").alias("i"), n.alias("n"), p["ch"].alias("ch"))).alias("parts"))
     )
-    clusters = parts.groupBy("key", "pos").agg(F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"))
+    sorted_ = parts.groupBy("piece").agg(F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"))
     built = F.when(F.size("parts") == 1, F.get("parts", F.lit(0))["ch"]).when(F.size("parts") == 0, F.lit("")).otherwise(_recompose(F.col("parts")))
-    pieces_back = clusters.select("key", F.struct("pos", built.alias("s")).alias("p"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "")
-    return pieces_back.groupBy("key").agg(F.regexp_replace(whole, JOINER, "‍").alias("canon"))
+    return sorted_.select("piece", built.alias("form"))
 
 
-def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``key, text``: each text that isn't null once, with its SHA-256 as key."""
+def unusual_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``key, text``: each text once that has a character which isn't usual, with its SHA-256 as key. All others are their own
+    form; only texts found here are moved."""
+    usual = _tables()[3]
     return (
-        df.select(F.col(text).alias("text")).where("text is not null")
+        df.select(F.col(text).alias("text")).where(~F.col("text").rlike(rf"^[{usual}]*$"))
         .select(F.sha2("text", 256).alias("key"), "text")
         .groupBy("key").agg(F.first("text").alias("text"))
     )
@@ -178,34 +214,40 @@ def normalise_lookalikes(df: DataFrame, text: str = "text", out: str = "canon")
     """All rows, with ``out``: the one form of ``text``; null for null, '' for '' and for texts of
     invisible characters only. Copies of a text are normalised once. ``out`` mustn't be a column
     already; other columns may have any name."""
-    forms = canonical_texts(distinct_texts(df, text)).select(F.col("key").alias("__key"), F.col("canon").alias("__canon"))
+    forms = canonical_texts(unusual_texts(df, text)).select(F.col("key").alias("__key"), F.col("canon").alias("__canon"))
     keyed = df.withColumn("__text_key", F.sha2(F.col(text), 256))
     joined = keyed.join(forms, keyed["__text_key"] == forms["__key"], "left")
-    form = F.when(df[text].isNull(), F.lit(None)).otherwise(F.coalesce("__canon", F.lit("")))
+    form = F.coalesce("__canon", df[text])
     return joined.select(*[keyed[c] for c in df.columns], form.alias(out))
 
 
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_a, doc_b`` (a < b): documents whose texts differ in characters but have one form.
 
-    Texts are paired first, one row for each two different texts of a form; documents join their
-    text afterwards, so byte-identical copies never meet each other and only pairs that are wanted
-    are made. Blank texts, and documents of null id, are in no pair; a repeated row counts once.
+    Membership (``form_members``) comes first; then one row for each two different texts of a form; documents
+    join their text last, so byte-identical copies never meet each other and only pairs that are wanted
+    are made. Forms of many texts are dealt out to several tasks. Blank texts, and documents of null id, are in no
+    pair; a repeated row counts once.
     """
-    docs = df.select(F.col(key).alias("doc"), F.sha2(F.col(text), 256).alias("key")).where("doc is not null and key is not null").distinct()
-    # Two hashes a text, read three times below: written once.
-    forms = cut_lineage(
-        canonical_texts(distinct_texts(df, text))
-        .where(F.col("canon").rlike(r"(?U)\S"))
-        .select("key", F.sha2("canon", 256).alias("form"))
-    )
-    groups = forms.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    several = forms.join(groups, "form", "left_semi")
-    a, b = several.select("form", F.col("key").alias("ka")), several.select("form", F.col("key").alias("kb"))
-    texts = a.join(b, "form").where("ka < kb").select("ka", "kb")
+    members = cut_lineage(form_members(df, key, text))
+    several = members.select("form", "key").distinct()
+    texts = member_pairs(several, "form", "key").toDF("ka", "kb")
+    docs = members.select("doc", "key")
     pairs = (
         texts.join(docs.select(F.col("doc").alias("da"), F.col("key").alias("ka")), "ka")
         .join(docs.select(F.col("doc").alias("db"), F.col("key").alias("kb")), "kb")
         .where("da <> db")
     )
     return pairs.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"))
+
+
+def form_members(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, key, form``: documents of a form that several different texts have, with the hashes of their text and of its
+    form. Blank texts and null ids have no row, a repeated row has one."""
+    visible = F.col(text).rlike(r"(?U)\S")
+    docs = df.select(F.col(key).alias("doc"), F.sha2(F.col(text), 256).alias("key"), visible.alias("seen")).where("doc is not null and key is not null").distinct()
+    # Hashes of texts that aren't their own form, read twice below: written once.
+    forms = cut_lineage(canonical_texts(unusual_texts(df, text)).select("key", F.sha2("canon", 256).alias("form"), F.col("canon").rlike(r"(?U)\S").alias("shown")))
+    known = cut_lineage(docs.join(forms, "key", "left").where(F.coalesce("shown", "seen")).select("doc", "key", F.coalesce("form", "key").alias("form")))
+    groups = known.groupBy("form").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("form")
+    return known.join(groups, "form", "left_semi").select("doc", "key", "form")

@@ -14,23 +14,25 @@ ROWS_PER_BLOCK = 100_000
 
 
 def temperature_shares(
-    sizes: dict[str, int], entropy: float | None = None, most: dict[str, int] | None = None, total: float | None = None
+    sizes: dict[str, int], entropy: float | None = None, most: dict[str, int] | None = None, total: float | None = None, base: dict[str, float] | None = None
 ) -> tuple[float, dict[str, float]]:
-    """The exponent and the shares of sources when their natural shares are raised to it: 1 keeps them,
-    0 makes them equal.
+    """The exponent and the shares of sources by temperature: ``base`` shares (equal ones if none are given) times
+    the ratio of natural to base shares raised to it. 0 gives the base shares, 1 the natural ones; without ``base``
+    the shares are the natural ones raised to the exponent.
 
-    The exponent is found by bisection: with ``entropy`` (nats) it is the one whose shares have it;
-    with ``most`` and ``total`` it is the least, from 0 to 1, at which no source is repeated beyond its
-    limit in a mixture of ``total`` tokens. Of both, the greater exponent holds. Sources without
-    tokens get no share.
+    The exponent is the least from 0 to 1, found by bisection, at which the shares have no more than ``entropy``
+    (nats), if given, and no source is repeated beyond its limit in a mixture of ``total`` tokens, if ``most`` and ``total``
+    are. Sources without tokens or of no base share get none.
     """
-    sizes = {s: n for s, n in sizes.items() if n > 0}
-    if not sizes:
+    live = {s: n for s, n in sizes.items() if n > 0 and (base is None or base.get(s, 0) > 0)}
+    if not live:
         return 1.0, {}
-    top = max(sizes.values())
+    given = {s: 1.0 if base is None else base[s] for s in live}
+    ratios = {s: math.log(n / given[s]) for s, n in live.items()}
+    top = max(ratios.values())
 
     def shares(power: float) -> dict[str, float]:
-        raised = {s: (n / top) ** power for s, n in sizes.items()}
+        raised = {s: given[s] * math.exp(power * (ratios[s] - top)) for s in live}
         return {s: x / sum(raised.values()) for s, x in raised.items()}
 
     def least(holds) -> float:
@@ -46,7 +48,7 @@ def temperature_shares(
     if entropy is not None:
         power = least(lambda q: -sum(x * math.log(x) for x in q.values() if x > 0) <= entropy)
     if most is not None and total is not None:
-        power = max(power, least(lambda q: all(q[s] * total <= most.get(s, 1) * n for s, n in sizes.items())))
+        power = max(power, least(lambda q: all(q[s] * total <= most.get(s, 1) * n * (1 + 1e-9) for s, n in live.items())))
     return power, shares(power)
 
 
@@ -78,6 +80,24 @@ def mixture_budgets(
     return budget
 
 
+def tempered_budgets(
+    sizes: dict[str, int], weights: dict[str, float], most: dict[str, int], total: int | None = None, entropy: float | None = None
+) -> tuple[float, dict[str, float]]:
+    """The exponent of a mixture, and the tokens that each source gives.
+
+    Shares are those of ``temperature_shares`` from ``weights``. Without ``total`` it is the greatest at which the weights
+    themselves hold within all repetitions, so that the exponent is 0 (unless ``entropy`` asks for more); with a greater
+    one the shares move towards the natural ones, as far as the repetition limits need. What no
+    exponent allows is cut to the limits (``mixture_budgets``)."""
+    live = {s: w for s, w in weights.items() if sizes.get(s, 0) > 0 and w > 0 and most.get(s, 1) > 0}
+    if not live:
+        return 1.0, {}
+    have = {s: sizes[s] for s in live}
+    size = total if total is not None else (sum(mixture_budgets(have, live, most).values()) if entropy is None else None)
+    power, shares = temperature_shares(have, entropy, most if size is not None else None, size, live)
+    return power, mixture_budgets(have, shares, most, total)
+
+
 def source_sizes(docs: DataFrame, source: str, tokens: str) -> dict[str, int]:
     """Tokens of each source; as many rows as sources that a target names."""
     return {r[0]: int(r[1] or 0) for r in docs.groupBy(source).agg(F.sum(tokens)).collect()}
@@ -116,20 +136,21 @@ def realise(docs: DataFrame, budgets: dict[str, float], source: str, tokens: str
     return taken.select(*columns, "copia").unionAll(inner.select(*columns, last)).unionAll(edge.select(*columns, last))
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture (``doc_id, source, tokens, copia``) and its report, from documents (``doc_id, source,
     tokens``) and targets (``source, peso_objetivo, max_repeticiones``).
 
     Documents of sources without a target, of null source and of no tokens aren't used. A source is
-    given its share of the tokens to within a document. The report has a row for each target, also
-    for sources without documents: tokens there are and taken, repetitions, target and actual share.
+    given its share of the tokens to within a document. Shares come from ``tempered_budgets``: the targets themselves
+    unless ``total`` or ``entropy`` needs others. The report has a row for each target, also
+    for sources without documents: tokens there are and taken, repetitions, target, planned and actual share, and the exponent.
     """
     wanted = {r["source"]: r for r in targets.where("source is not null").collect()}  # the mixture's parameters
     used = docs.where(F.col("source").isin(list(wanted)) & (F.col("tokens") > 0)).select("doc_id", "source", "tokens")
     sizes = source_sizes(used, "source", "tokens")
-    budgets = mixture_budgets(
+    power, budgets = tempered_budgets(
         sizes, {s: float(r["peso_objetivo"] or 0) for s, r in wanted.items()},
-        {s: int(r["max_repeticiones"] or 0) for s, r in wanted.items()}, total,
+        {s: int(r["max_repeticiones"] or 0) for s, r in wanted.items()}, total, entropy,
     )
     mixed = realise(used, budgets, "source", "tokens", F.struct("doc_id", "tokens"), seed)
     given = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens_mezcla"), F.count("*").alias("documentos_mezcla"), F.max("copia").alias("copias"))
@@ -137,11 +158,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, s
     report = targets.where("source is not null").join(there, "source", "left").join(given, "source", "left").na.fill(
         0, ["tokens_fuente", "documentos_fuente", "tokens_mezcla", "documentos_mezcla", "copias"]
     )
+    whole = sum(budgets.values()) or 1.0
+    plan = docs.sparkSession.createDataFrame([(s, b / whole) for s, b in budgets.items()], "source string, __plan double")
+    report = report.join(F.broadcast(plan), "source", "left").na.fill(0.0, ["__plan"])  # a row for each target
     everything = given.agg(F.sum("tokens_mezcla").alias("__all"))
     report = report.crossJoin(F.broadcast(everything)).select(  # one row
         "source", "peso_objetivo", "max_repeticiones", "documentos_fuente", "tokens_fuente", "documentos_mezcla", "tokens_mezcla",
         "copias", F.round(F.try_divide("tokens_mezcla", "tokens_fuente"), 6).alias("repeticiones"),
-        F.round(F.try_divide("tokens_mezcla", "__all"), 6).alias("participacion"),
+        F.round(F.try_divide("tokens_mezcla", "__all"), 6).alias("participacion"), F.round("__plan", 6).alias("participacion_prevista"), F.lit(round(power, 9)).alias("exponente"),
     )
     return mixed, report
 

@@ -9,7 +9,7 @@ from tablon.functions.identity import canonical_link
 from tablon.llm.addresses import same_address_pairs
 from tablon.llm.canonical import listings_entries
 from tablon.llm.components import listing_groups
-from tablon.llm.lookalikes import LOOKALIKES, lookalike_pairs
+from tablon.llm.lookalikes import lookalike_pairs
 from tablon.llm.mixture import counted, mix_sources, tempered
 from tablon.llm.nearest import nearest_in_time
 from tablon.llm.tokens import count_tokens, encode_texts
@@ -98,12 +98,20 @@ SELECT anuncio_id, arg_min(tc_id, gap) AS tc_id FROM n WHERE gap <= 43200000000
 """
 
 
+# Letters that look alike, each followed by its twin: this list is the query's own, not the operator's.
+_TWINS = (
+    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw "
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv օo ɑa ɡg Ёë"
+)
+
+
 def _p10_sql() -> str:
     """The forms of texts with the functions that SQL has: signs dropped or translated one by one, then NFC."""
     wide = range(0xFF01, 0xFF5F)
     spaces = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
-    source = "".join(LOOKALIKES) + "Ёё" + "".join(map(chr, [*wide, *spaces]))
-    target = "".join(LOOKALIKES.values()) + "Ëë" + "".join(chr(c - 0xFEE0) for c in wide) + " " * len(spaces)
+    twins = [*_TWINS.replace("Ёë", "ЁË").split(), "ёë"]
+    source = "".join(t[0] for t in twins) + "".join(map(chr, [*wide, *spaces]))
+    target = "".join(t[1] for t in twins) + "".join(chr(c - 0xFEE0) for c in wide) + " " * len(spaces)
     target = target.replace("'", "''")
     emoji = r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{21FF}\x{2300}-\x{27BF}]"
     kept = "text"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablon.functions.identity import canonical_link
-from tablon.llm import addresses, canonical, components, lookalikes, mixture, nearest, setjoin, tokens
+from tablon.llm import addresses, canonical, components, lookalikes, mixture, nearest, pairs, setjoin, tokens
 
 
 class TestTokens:
@@ -209,6 +209,19 @@ class TestLookalikes:
         assert self.pairs(spark, [text, unicodedata.normalize("NFD", text)]) == [(0, 1)]
         assert self.pairs(spark, []) == []
 
+    def test_published_table(self, spark):
+        assert self.pairs(spark, ["CASA", "ᏟASA", "ꓚASA", "casa", "lado", "Iado"]) == [(0, 1), (0, 2), (1, 2)]
+        more = lookalikes.published_lookalikes(spark)
+        assert len(more) > 60 and "l" not in more.values() and not set(more) & set(lookalikes.LOOKALIKES)
+
+    def test_a_hot_form(self, spark):
+        texts = ["a" + "\u200b" * i for i in range(40)]
+        df = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string")
+        want = list(itertools.combinations(range(40), 2))
+        assert sorted(map(tuple, lookalikes.lookalike_pairs(df).collect())) == want
+        groups = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 5), (None, 1), (None, 2), (3, None)], "g int, m int")
+        assert sorted(map(tuple, pairs.member_pairs(groups, "g", "m", 7).collect())) == list(itertools.combinations(range(30), 2))
+
     def test_normal_form(self, spark):
         texts = ["Ｃafé №½", "a\r\nb\rc", "plain", "﻿х", None, "", "́x", "각"]
         df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "i int, text string, key string")
@@ -241,6 +254,20 @@ class TestMixture:
         assert all(shares[s] * 1000 <= m * sizes[s] * (1 + 1e-9) for s, m in {"a": 1, "b": 1, "c": 3}.items())
         assert mixture.temperature_shares({}) == (1.0, {})
 
+    def test_given_weights_are_the_mixture_until_a_limit(self):
+        sizes, weights, most = {"a": 900, "b": 90, "c": 10, "d": 0}, {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.4}, {"a": 1, "b": 2, "c": 3}
+        power, budgets = mixture.tempered_budgets(sizes, weights, most)
+        assert power == 0 and budgets == pytest.approx({"a": 75, "b": 45, "c": 30})
+        power, budgets = mixture.tempered_budgets(sizes, weights, most, 600)
+        assert 0 < power < 1 and sum(budgets.values()) == pytest.approx(600) and all(budgets[s] <= most[s] * sizes[s] * (1 + 1e-9) for s in budgets)
+        assert mixture.tempered_budgets(sizes, weights, most, 10**6)[1] == pytest.approx({"a": 900, "b": 180, "c": 30})
+        assert mixture.tempered_budgets({}, weights, most) == (1.0, {})
+        power, budgets = mixture.tempered_budgets(sizes, weights, most, None, 0.8)
+        shares = [x / sum(budgets.values()) for x in budgets.values()]
+        import math
+
+        assert -sum(x * math.log(x) for x in shares) == pytest.approx(0.8) and max(budgets[s] / sizes[s] / most[s] for s in budgets) == pytest.approx(1)
+
     def test_realised(self, spark):
         docs = [(i, "a", 10) for i in range(4000)] + [(9000 + i, "b", 7) for i in range(300)] + [(9900, None, 5), (9901, "z", 5), (9902, "b", 0)]
         df = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
