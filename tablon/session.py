@@ -43,6 +43,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows over as many partitions as shuffles have, or cores: for few bytes a row that much is computed from, which
+    adaptive execution would put into a task or two."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder; later stages read them from
     there, so losing an executor repeats no earlier work."""
