@@ -1,9 +1,10 @@
 """Postal addresses of one place, however they are written.
 
-A gazetteer is made of the addresses themselves: words are corrected to frequent ones, names of
-streets and estates are counted within localities. Every address is then resolved to an
-entry by the best of a few hypotheses (where the name starts and ends, which locality), and
-addresses meet on locality, name and number or lot.
+A gazetteer is made of the addresses themselves: words are corrected to frequent ones, the spellings of
+streets and estates are clustered within their localities, and each cluster is a street with an identifier. Every
+address is then resolved by a beam search over the gazetteer's entries (where the name begins and ends), and
+addresses meet on the street's identifier and the number or lot. Units of a building are one place here, so the
+unit isn't part of the join.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import types as T
 
 from tablon.llm.canonical import UNLISTED, listings_entries, plain_words, sound, unedited_share
 from tablon.llm.components import connected_components
+from tablon.llm.pairs import member_pairs
 from tablon.llm.setjoin import grams, similarity_join
-from tablon.session import cut_lineage
+from tablon.session import cut_lineage, spread
 
 # Words of Spanish addresses.
 STREET_TYPES = "calle ca cl c/ avenida avda av ave jiron jron jr pasaje psje pje pj carretera prolongacion prol malecon mlc alameda"
@@ -31,12 +33,19 @@ UNIT = re.compile(r"\b(?:departamento|depto|dpto|dep|oficina|ofic|of|interior|in
 ASIDE = re.compile(
     r"\(.*?\)|\bref(?:erencia)?[.:].*$|\ba (?:media|una|\d+) (?:cuadras?|min).*$|\b(?:frente|cerca) (?:a|al|del?)\b.*$|\ba \d+ (?:m|mts|metros|minutos)\b.*$"
 )
-NUMBER = re.compile(r"(?:\b(?:numero|nro|num|no|n)[. ]*|#\s*)(\d{1,6})\b|(?<![\w.])(\d{2,6})(?![\w.]?\d)\b")
+# A number with a mark may have any length; without one it has two to six figures (longer ones are telephones'), or is one
+# figure that ends its part behind a name. A letter may follow at once or behind a dash: 1234B, 123-A.
+_LETTER = r"(?:-?[a-z](?![a-z0-9/.]))?"
+NUMBER = re.compile(
+    rf"(?:\b(?:numero|nro|num|no|n)[. ]*|#\s*)(\d+{_LETTER})(?![a-z0-9])|(?<![\w.])(\d{{2,6}}{_LETTER})(?![a-z0-9]|[.]\d)|(?<=[a-z] )(\d{_LETTER})(?=\s*(?:[,;|/]|-\s|$))"
+)
 _TYPE = re.compile(rf"(?:^|(?<=\s))(?:{'|'.join(re.escape(t) for t in STREET_TYPES.split() if t != 'alameda')})(?:\.\s*|\s+)(?=\S)")
 _ESTATE = re.compile(rf"(?:^|(?<=\s))(?:{'|'.join(ESTATE_TYPES.split())})(?:\.\s*|\s+)(?=\S)")
 _PARTS = re.compile(r"[,;|]|\s[-/]\s")
 
-LONGEST_NAME = 4  # words of a name, connectors left out
+LONGEST_NAME = 12  # words of the longest hypothesis but that of all words, connectors left out
+LONGEST_WORD = 30  # letters; longer words aren't corrected
+NEAR_NAMES = 0.4  # Jaccard similarity of letter pairs from which two spellings within a locality are compared
 SAME_SPELLING = 0.8  # share of characters without edits from which two spellings may be one name
 RARER = 3  # a word is a misspelling of one that is this many times as frequent
 
@@ -110,11 +119,16 @@ def parse_address(text: str | None) -> dict | None:
         phrases += _ends(name.split())
     phrases += [e for p in phrases if len(p.split()) > 4 for e in _ends(p.split())]
     return {
-        "number": str(int(m.group(1) or m.group(2))), "block": "", "lot": "", "words": words, "after": after, "name": name, "front": front,
+        "number": _plain_number(next(g for g in m.groups() if g)), "block": "", "lot": "", "words": words, "after": after, "name": name, "front": front,
         "clean": len(cut) == 1 and not after and (len(words) <= 2 or len(typed) == 2 and not front), "phrases": phrases,
     }
 
 
+def _plain_number(text: str) -> str:
+    figures = re.match(r"\d+", text).group()
+    return str(int(figures)) + text[len(figures) :].lstrip("-")
+
+
 def _ends(words: list[str]) -> list[str]:
     """The first and the last one to five words, from six letters on."""
     n = range(1, min(5, len(words)) + 1)
@@ -141,7 +155,7 @@ def _deletions(words: pd.Series) -> pd.Series:
 
     def of(w: str) -> list[str]:
         once = {w[:i] + w[i + 1 :] for i in range(len(w))}
-        twice = {v[:i] + v[i + 1 :] for v in once for i in range(len(v))} if 7 <= len(w) <= 30 else set()
+        twice = {v[:i] + v[i + 1 :] for v in once for i in range(len(v))} if len(w) >= 7 else set()
         return sorted({w} | once | twice)
 
     return words.map(of)
@@ -151,8 +165,8 @@ def corrections(words: DataFrame) -> DataFrame:
     """``word, right``: words (``word``, one row for each use) that are misspellings of a much more
     frequent one: one edit away, or two if they have eight letters or more. They meet by an equi-join
     on what is left without one or two letters, which loses none. Words of under four letters, such
-    as the numerals of stages, stay as they are."""
-    counts = cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") >= 4))
+    as the numerals of stages, and of over LONGEST_WORD stay as they are."""
+    counts = cut_lineage(spread(words.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word").between(4, LONGEST_WORD))))
     left = counts.select(F.col("word").alias("left_id"), F.col("n").alias("na"), F.explode(_deletions("word")).alias("rest"))
     targets = counts.where(F.col("n") >= RARER)  # a word used less often can't be RARER times as frequent
     right = targets.select(F.col("word").alias("right_id"), F.col("n").alias("nb"), F.explode(_deletions("word")).alias("rest"))
@@ -175,22 +189,26 @@ def _corrected(parsed: DataFrame) -> DataFrame:
     ).drop("all")
 
 
-def stated_localities(parsed: DataFrame, entries: DataFrame) -> DataFrame:
+def stated_localities(parsed: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataFrame:
     """``id, locality, phrase``: the list entry that an address names, and in which words. Distinct
-    phrases are compared with the names (also with the first word's initial); the nearest counts."""
+    phrases are compared with the names (also with the first word's initial) and aliases; the nearest counts. Phrases
+    of under six letters must be a name as it stands, and so must parts of longer ones. A form that several entries
+    have names none of them."""
     each = parsed.select("id", F.explode("phrases").alias("phrase"))
     phrases = each.select("phrase").distinct().withColumn("letters", F.array_join(plain_words(F.col("phrase")), ""))
-    phrases = cut_lineage(phrases.where(F.length("letters") >= 6))  # read three times
+    phrases = cut_lineage(spread(phrases.where(F.length("letters") >= 2), "letters"))  # read three times
     names = entries.select(F.col("distrito_id").alias("entry"), plain_words(F.col("nombre")).alias("w"))
     initial = F.concat(F.array(F.substring(F.get("w", F.lit(0)), 1, 1)), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))))
     ways = names.select("entry", F.explode(F.array(F.col("w"), F.when(F.size("w") > 1, initial).otherwise(F.col("w")))).alias("w"))
-    forms = ways.select("entry", F.array_join("w", "").alias("form")).groupBy("form").agg(F.min("entry").alias("entry"))
+    ways = ways.unionAll(aliases.select("distrito_id", plain_words(F.col("alias_texto"))))
+    forms = ways.select("entry", F.array_join("w", "").alias("form")).where("form <> '' and entry is not null")
+    forms = cut_lineage(forms.groupBy("form").agg(F.min("entry").alias("entry"), F.max("entry").alias("other")).where("entry = other").drop("other"))
     distinct = phrases.select("letters").distinct()
     known = distinct.join(forms, F.col("letters") == F.col("form"), "left")
     exact = known.where("entry is not null").select("letters", "entry", F.lit(1.0).alias("score"))
-    left = known.where("entry is null").select(F.col("letters").alias("id"), grams(F.col("letters")).alias("tokens"))
-    right = forms.select(F.col("form").alias("id"), grams(F.col("form")).alias("tokens"))
-    near = cut_lineage(similarity_join(left, right, 0.35).select("left_id", "right_id"))
+    left = spread(known.where("entry is null and length(letters) >= 6").select(F.col("letters").alias("id"))).select("id", grams(F.col("id")).alias("tokens"))
+    right = forms.where("length(form) >= 6").select(F.col("form").alias("id"), grams(F.col("form")).alias("tokens"))
+    near = similarity_join(left, right, 0.35).select("left_id", "right_id")
     rated = near.select("left_id", "right_id", F.greatest(
         unedited_share(F.col("left_id"), F.col("right_id")), unedited_share(sound(F.col("left_id")), sound(F.col("right_id")))
     ).alias("score")).where(F.col("score") >= SAME_SPELLING)
@@ -223,76 +241,108 @@ def _lot_words(name: pd.Series, phrase: pd.Series, words: pd.Series) -> pd.Serie
     return pd.Series(out)
 
 
-def _street_names(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``street``: the name at the number, found by a beam of hypotheses: the one to
-    LONGEST_NAME words next to the number, on the side where it may be, weighed by how many clean addresses of the locality
-    and of all localities have that name, and by how many names have as many words."""
-    clean = rows.where("clean and size(words) between 1 and 4").select("locality", F.array_join("words", " ").alias("street"), F.size("words").alias("k"))
+def gazetteer(names: DataFrame) -> DataFrame:
+    """``locality, kind, name, entry, n``: every spelling (``names``: locality, kind, name, a row for each use) with the main
+    spelling of its street, which is the most frequent one, and how often the street is named.
+
+    A spelling that has a word of under RARER uses may be a misspelling (others of one were corrected by their words). These
+    are joined with all spellings of their locality and kind by similarity of letter pairs; of two with SAME_SPELLING
+    unedited letters, one that is RARER times as frequent takes the other in, and connected components make the
+    clusters. So a misspelling is told by the same street at other numbers. Stages (I, II) keep names apart."""
+    spelled = cut_lineage(names.where("name <> ''").groupBy("locality", "kind", "name").agg(F.count("*").alias("n")).withColumn("i", F.monotonically_increasing_id()))
+    scope = F.concat_ws("|", F.coalesce("locality", F.lit(0)).cast("string"), "kind", F.lit(""))
+    sets = spelled.select(F.col("i").alias("id"), F.transform(grams(F.col("name")), lambda g: F.concat(scope, g)).alias("tokens"))
+    words = spelled.select("i", "n", F.explode(F.split("name", " ")).alias("word"))
+    rare = words.groupBy("word").agg(F.sum("n").alias("uses")).where(F.col("uses") < RARER)
+    odd = words.join(rare, "word", "left_semi").select(F.col("i").alias("id")).distinct()
+    near = similarity_join(sets, sets.join(odd, "id", "left_semi"), NEAR_NAMES).where("left_id <> right_id")
+    stage = F.regexp_extract("name", r"\b(i+v?|iv)\b", 1).alias("stage")
+    facts = spelled.select("i", "name", "n", stage)
+    both = near.join(facts.toDF("left_id", "x", "nx", "sx"), "left_id").join(facts.toDF("right_id", "y", "ny", "sy"), "right_id")
+    length = [F.length("x"), F.length("y")]
+    both = both.where((F.col("sx") == F.col("sy")) & (F.col("nx") >= RARER * F.col("ny")) & (F.least(*length) >= SAME_SPELLING * F.greatest(*length) - 1e-9))
+    same = both.where(unedited_share(F.col("x"), F.col("y")) >= SAME_SPELLING)
+    streets = connected_components(same, "left_id", "right_id")
+    known = spelled.join(streets, spelled["i"] == streets["vertex"], "left").withColumn("street", F.coalesce("component", "i"))
+    mains = known.groupBy("street").agg(F.max_by("name", F.struct("n", "name")).alias("entry"), F.sum("n").alias("total"))
+    return cut_lineage(known.join(mains, "street").select("locality", "kind", "name", "entry", F.col("total").alias("n")))
+
+
+def _street_names(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """``id, locality, number, name, k``: the gazetteer's entry that the words at the number name, found by a beam search: a
+    hypothesis for each stretch of one to LONGEST_NAME words, and of all words, next to the number, on the side where it
+    may be. Each is looked up among the locality's entries and weighed by how often that street, and that spelling in any
+    locality, is named, and by how many names have as many words; the best stays. Where no stretch is an entry, the best
+    one is a new one."""
+    clean = rows.where("clean and size(words) > 0").select(F.array_join("words", " ").alias("name"), F.size("words").alias("k"))
     lengths = clean.groupBy("k").agg(F.count("*").alias("nk"))
     total = F.sum("nk").over(Window.partitionBy(F.lit(1)))
-    shares = lengths.select("k", (F.col("nk") / total).alias("share"))  # as many rows as lengths: four
-    local = clean.groupBy("locality", "street").agg(F.count("*").alias("nl"))
-    everywhere = clean.groupBy("street").agg(F.count("*").alias("ng"))
+    shares = lengths.select("k", (F.col("nk") / total).alias("share")).where(F.col("k") <= LONGEST_NAME)  # as many rows as lengths
+    local = entries.where("kind = 's'").select("locality", "name", "entry", F.col("n").alias("nl"))
+    everywhere = clean.groupBy("name").agg(F.count("*").alias("ng"))
     sides = rows.select("id", "locality", "words", "front").unionAll(rows.select("id", "locality", "after", F.lit(True))).where("size(words) > 0")
-    k = F.explode(F.sequence(F.lit(1), F.least(F.size("words"), F.lit(LONGEST_NAME))))
-    guesses = sides.select("id", "locality", "words", "front", k.alias("k"))
+    size = F.size("words")
+    stretches = F.sequence(F.lit(1), F.least(size, F.lit(LONGEST_NAME)))
+    beam = sides.select("id", "locality", "words", "front", F.explode(F.array_union(stretches, F.array(size))).alias("k"))
     part = F.when(F.col("front"), F.slice("words", F.lit(1), F.col("k"))).otherwise(F.slice("words", -F.col("k"), F.col("k")))
-    guesses = guesses.select("id", "locality", "k", F.array_join(part, " ").alias("street"))
+    beam = beam.select("id", "locality", "k", F.array_join(part, " ").alias("name"))
     weighed = (
-        guesses.join(local, ["locality", "street"], "left").join(everywhere, "street", "left").join(F.broadcast(shares), "k", "left")
+        beam.join(local, ["locality", "name"], "left").join(everywhere, "name", "left").join(F.broadcast(shares), "k", "left")
         .withColumn("weight", F.log(F.coalesce("share", F.lit(0.0)) + 1e-6) + F.log(1 + 10 * F.coalesce("nl", F.lit(0)) + F.coalesce("ng", F.lit(0))))
     )
-    best = weighed.groupBy("id").agg(F.max_by("street", F.struct("weight", "k", "street")).alias("street"))
-    return rows.join(best, "id")
+    best = weighed.groupBy("id").agg(F.max(F.struct("weight", "k", "name", "entry")).alias("h"))
+    return best.select("id", F.coalesce("h.entry", "h.name").alias("name"))
 
 
 def resolved_addresses(listings: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``id, locality, name, place``: each address with its locality (null if unknown), the name of its
-    street or estate and its number or block and lot in one text."""
+    """``id, locality, name, place``: each address with its locality (null if unknown), the gazetteer's name of its
+    street or estate, and its number or block and lot in one text."""
     once = listings.select("anuncio_id", "ubicacion", "distrito").where("anuncio_id is not null and ubicacion is not null").dropDuplicates(["anuncio_id"])
     parsed = cut_lineage(once.select(F.col("anuncio_id").alias("id"), F.col("ubicacion").alias("address")).mapInPandas(_parse, PARSED))
     typed = listings_entries(once, entries, aliases).where(F.col("distrito_id") != UNLISTED)
     rows = (
         _corrected(parsed)
-        .join(stated_localities(parsed, entries), "id", "left")
+        .join(stated_localities(parsed, entries, aliases), "id", "left")
         .join(typed.select(F.col("anuncio_id").alias("id"), F.col("distrito_id").alias("typed")), "id", "left")
         .withColumn("locality", F.coalesce(F.col("locality").cast("bigint"), "typed"))
     )
-    rows = cut_lineage(rows.select("id", "number", "block", "lot", "words", "after", "front", "clean", "name", "phrase", "locality"))
-    streets = _street_names(rows.where("number <> ''")).select("id", "locality", F.col("street").alias("name"), F.col("number").alias("place"))
-    lots = rows.where("number = ''").select(
-        "id", "locality", F.array_join(_lot_words(F.col("name"), F.col("phrase"), F.col("words")), " ").alias("name"),
-        F.concat_ws(" ", F.lit("mz"), "block", F.lit("lt"), "lot").alias("place"),
-    )
+    lot_name = F.when(F.col("number") == "", F.array_join(_lot_words(F.col("name"), F.col("phrase"), F.col("words")), " ")).alias("estate")
+    rows = cut_lineage(rows.select("id", "number", "block", "lot", "words", "after", "front", "clean", "locality", lot_name))
+    numbered, lots = rows.where("number <> ''"), rows.where("number = ''")
+    clean = numbered.where("clean and size(words) > 0").select("locality", F.lit("s").alias("kind"), F.array_join("words", " ").alias("name"))
+    known = gazetteer(clean.unionAll(lots.select("locality", F.lit("e"), F.col("estate"))).where("locality is not null"))
+    streets = numbered.join(_street_names(numbered, known), "id").select("id", "locality", "name", F.col("number").alias("place"))
+    place = F.concat_ws(" ", F.lit("mz"), "block", F.lit("lt"), "lot").alias("place")
+    estates = known.where("kind = 'e'").select("locality", F.col("name").alias("estate"), "entry")
+    named = lots.join(estates, ["locality", "estate"], "left").select("id", "locality", F.coalesce("entry", "estate").alias("name"), place)
     # A block and lot without an estate's name are the locality's own.
-    return streets.unionAll(lots).where("name <> '' or place like 'mz%'")
+    return streets.unionAll(named).where("name <> '' or place like 'mz%'")
 
 
 def place_ids(resolved: DataFrame) -> DataFrame:
     """``id, place_id``: one identifier for each building or lot.
 
-    Addresses of unknown locality get that in which their name and place are known, if it is only one.
-    Names of one place that are spellings of each other become one: within (locality, number) all of
-    them are compared by edits and joined to clusters through connected components. Stages (I, II) keep names apart.
+    Addresses of unknown locality get that in which their street and place are known, if it is only one. Streets (and
+    estates) of a locality are numbered, and addresses meet on that number and their place. Entries that
+    share a (locality, place) and are spellings of each other, however frequent, are one there: all of them are compared by
+    edits and joined through connected components. Stages (I, II) keep names apart.
     """
     known = resolved.where("locality is not null")
     single = known.groupBy("name", "place").agg(F.min("locality").alias("a"), F.max("locality").alias("b")).where("a = b").select("name", "place", F.col("a").alias("found"))
     lost = resolved.where("locality is null").join(single, ["name", "place"], "left")
     rows = cut_lineage(known.unionByName(lost.select("id", F.coalesce("found", F.lit(0)).alias("locality"), "name", "place")))
-    keys = rows.select("locality", "place", "name").distinct()
-    staged = keys.select("*", F.regexp_extract("name", r"\b(i+v?|iv)\b", 1).alias("stage"))
-    pairs = staged.join(staged.withColumnRenamed("name", "other"), ["locality", "place", "stage"]).where("name < other")
+    streets = rows.select("locality", "name").distinct().withColumn("street", F.monotonically_increasing_id())
+    places = rows.join(cut_lineage(streets), ["locality", "name"]).select("id", "street", "place", "locality", "name")
+    spots = cut_lineage(places.groupBy("street", "place", "locality", "name").agg(F.count("*").alias("n")).withColumn("spot", F.monotonically_increasing_id()))
+    staged = spots.select("spot", "locality", "place", "name", F.regexp_extract("name", r"\b(i+v?|iv)\b", 1).alias("stage"))
+    pairs = staged.join(staged.select(F.col("spot").alias("other_spot"), F.col("name").alias("other"), "locality", "place", "stage"), ["locality", "place", "stage"]).where("name < other")
     # There are as many edits at least as the lengths differ by.
     length = [F.length("name"), F.length("other")]
-    pairs = pairs.where(F.least(*length) >= SAME_SPELLING * F.greatest(*length) - 1e-9).select("locality", "place", "name", "other")
+    pairs = pairs.where(F.least(*length) >= SAME_SPELLING * F.greatest(*length) - 1e-9)
     same = pairs.where(unedited_share(F.col("name"), F.col("other")) >= SAME_SPELLING)
-    key = lambda n: F.struct("locality", "place", F.col(n).alias("name"))
-    clusters = connected_components(same.select(key("name").alias("a"), key("other").alias("b")), "a", "b")
-    joined = rows.join(
-        clusters.select(F.col("vertex.locality").alias("locality"), F.col("vertex.place").alias("place"), F.col("vertex.name").alias("name"), F.col("component.name").alias("main")),
-        ["locality", "place", "name"], "left",
-    )
-    return joined.select("id", F.xxhash64("locality", "place", F.coalesce("main", "name")).alias("place_id"), "locality", "place", F.coalesce("main", "name").alias("name"))
+    clusters = connected_components(same, "spot", "other_spot")
+    final = spots.join(clusters, spots["spot"] == clusters["vertex"], "left").select("street", "place", F.coalesce("component", "spot").alias("place_id"))
+    return places.select("id", "street", "place").join(final, ["street", "place"]).select("id", "place_id")
 
 
 def same_address_pairs(listings: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -301,8 +351,7 @@ def same_address_pairs(listings: DataFrame, entries: DataFrame, aliases: DataFra
     Units of a building are one place; equal streets of two localities are two. The locality is
     the one that the address names, else that of ``distrito``. Addresses without number or lot, null
     and blank ones denote no place. Listings delivered twice count once; texts of any length are
-    parsed whole.
+    parsed whole. Pairs are made last, from the membership (``place_ids``); places of many listings are dealt
+    out to several tasks.
     """
-    places = cut_lineage(place_ids(resolved_addresses(listings, entries, aliases)).select("id", "locality", "place", "name"))
-    a, b = places.withColumnRenamed("id", "anuncio_a"), places.withColumnRenamed("id", "anuncio_b")
-    return a.join(b, ["locality", "place", "name"]).where("anuncio_a < anuncio_b").select("anuncio_a", "anuncio_b")
+    return member_pairs(place_ids(resolved_addresses(listings, entries, aliases)), "place_id", "id").toDF("anuncio_a", "anuncio_b")

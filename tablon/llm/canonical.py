@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablon.functions.text import strip_accents
 from tablon.llm.setjoin import grams, similarity_join
-from tablon.session import cut_lineage
+from tablon.session import cut_lineage, spread
 
 CANDIDATE = 0.25  # Jaccard similarity from which an entry is a candidate
 SURE = 0.45  # Jaccard similarity that is enough
@@ -134,7 +134,7 @@ def map_to_entries(values: DataFrame, entries: DataFrame, aliases: DataFrame) ->
     (ties: the least ``distrito_id``) if either is high enough. A value without candidates is unlisted.
     """
     sounds = cut_lineage(values.select("letters", sound(F.col("letters")).alias("sound")))
-    left = sounds.select(F.col("sound").alias("id")).distinct().select("id", grams(F.col("id")).alias("tokens"))
+    left = spread(sounds.select(F.col("sound").alias("id")).distinct(), "id").select("id", grams(F.col("id")).alias("tokens"))
     forms = cut_lineage(entry_forms(entries, aliases))
     right = forms.select(F.col("form").alias("id")).distinct().select("id", grams(F.col("id")).alias("tokens"))
     found = similarity_join(left, right, CANDIDATE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablon.session import cut_lineage
 
-SMALL_SIDE = 20_000  # sets that are broadcast, with their tokens
+SMALL_CELLS = 1_000_000  # squares of the sizes of sets that are broadcast, added up: about 50 MB
 SMALL_VOCABULARY = 100_000  # token counts are broadcast up to this many rows, which is checked
 
 
@@ -74,19 +74,20 @@ def _jaccard() -> Column:
     return common / (F.size("tx") + F.size("ty") - common)
 
 
-def similarity_join(left: DataFrame, right: DataFrame, threshold: float, small: int = SMALL_SIDE) -> DataFrame:
+def similarity_join(left: DataFrame, right: DataFrame, threshold: float, small: int = SMALL_CELLS) -> DataFrame:
     """``left_id, right_id, jaccard`` of every pair of sets (``id, tokens`` without repeats) whose
     Jaccard similarity is ``threshold`` (over 0) or more.
 
     Tokens are ordered by how rare they are; only prefixes of the rarest meet,
     by an equi-join on the token, under the length and the positional filter. Then each pair is
     verified on its whole sets. The filters lose no pair; no common token brings rows together
-    unless sets are made of common tokens only. Empty sets and null ids match nothing. A right side of up to
-    ``small`` sets, which are counted, and SMALL_VOCABULARY tokens is broadcast; beyond, both sides are shuffled, with
+    unless sets are made of common tokens only. Empty sets and null ids match nothing. A right side whose squared
+    sizes, which are added up, are ``small`` at most, and of SMALL_VOCABULARY tokens, is broadcast; beyond, both sides are shuffled, with
     the same result. Ids of a side must be unique.
     """
     b = cut_lineage(right.where("id is not null and size(tokens) > 0").select("id", "tokens"))
-    if b.limit(small + 1).count() <= small:
+    # A broadcast row is a prefix's token with its whole set.
+    if (b.agg(F.sum(F.pow(F.size("tokens"), 2))).first()[0] or 0) <= small:
         rows = b.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).limit(SMALL_VOCABULARY + 1).collect()
         if len(rows) <= SMALL_VOCABULARY:
             return _join_small(left, b, {r[0]: r[1] for r in rows}, threshold)

@@ -298,6 +298,8 @@ class TestAddresses:
             ("Puente Ladrillo 5916 AV Huarangos Tórtolas Dpto. 206", "5916", "", ["huarangos", "tortolas"]),
             ("Calle Graneros d/l Hojarasca Nro. 3171 Dpto. 308", "3171", "", ["graneros", "hojarasca"]), ("Urb. La Noria, Mz. O Lt. 29", "", "o", ["noria"]),
             ("av Relicario de la Botella Nº567 Urb. La Tinaja Norte", "567", "", ["relicario", "botella"]), ("Manzana J46 Lote 74; Urb Los Ficus II Etapa", "", "j46", ["ficus", "ii", "etapa"]),
+            ("Av. Los Olivos 5, Lince", "5", "", ["olivos"]), ("Jr. Lima 1234B", "1234b", "", ["lima"]), ("Jr. Lima 123-A, Lince", "123a", "", ["lima"]), ("Jr. Lima Nº 12345678", "12345678", "", ["lima"]),
+            ("5213 C/ Mercaderes", "5213", "", ["mercaderes"]), ("Jr. Lima 450 - Lince", "450", "", ["lima"]), ("Jr. Lima 450 piso 3", "450", "", ["lima"]),
         ],
     )
     def test_parts(self, text, number, block, words):
@@ -323,6 +325,21 @@ class TestAddresses:
         assert got == [(1, 2), (1, 3), (2, 3), (6, 7)]
         assert addresses.same_address_pairs(df.limit(0), entries, aliases).isEmpty()
 
+    def test_a_misspelling_is_told_by_other_numbers(self, spark):
+        names = [(1, "s", "rio ene sur")] * 9 + [(3, "s", "rio")] * 4 + [(1, "s", "rio ane zur"), (2, "s", "rio ane zur"), (1, "e", "rio ane zur"), (1, "s", "lago i etapa")] + [(1, "s", "lago ii etapa")] * 9
+        got = {(r["locality"], r["kind"], r["name"]): (r["entry"], r["n"]) for r in addresses.gazetteer(spark.createDataFrame(names, "locality long, kind string, name string")).collect()}
+        assert got[1, "s", "rio ane zur"] == got[1, "s", "rio ene sur"] == ("rio ene sur", 10)
+        assert got[2, "s", "rio ane zur"] == got[1, "e", "rio ane zur"] == ("rio ane zur", 1) and got[1, "s", "lago i etapa"] == ("lago i etapa", 1)
+
+    def test_short_localities_aliases_and_long_names(self, spark):
+        entries = spark.createDataFrame([(1, "Ate", "L"), (2, "Surco", "L"), (3, "Miraflores", "L")], "distrito_id int, nombre string, provincia string")
+        aliases = spark.createDataFrame([("santiago viejo", 2), (None, 3)], "alias_texto string, distrito_id int")
+        long = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece"
+        rows = [(1, "Jr. Lima 123, Ate", None), (2, "Jr. Lima 123, Surco", None), (3, "Jr. Lima 123", "surco"), (4, "Jr. Lima 123, Santiago Viejo", None), (5, "Jr. Lima 123-A, Ate", None), (6, "Jr. Lima 123A; ATE", None),
+                (7, f"Jr. {long} 55, Ate", None), (8, f"Jr. otro {long} 55, Ate", None), (9, f"Jr. {long} 55 - Ate", None)]
+        df = spark.createDataFrame(rows, "anuncio_id long, ubicacion string, distrito string")
+        assert sorted(map(tuple, addresses.same_address_pairs(df, entries, aliases).collect())) == [(2, 3), (2, 4), (3, 4), (5, 6), (7, 8), (7, 9), (8, 9)]
+
 
 def test_checkpoints_go_to_the_session_folder(spark):
     spark.range(1)
