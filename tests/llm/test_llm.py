@@ -326,10 +326,10 @@ class TestAddresses:
         assert addresses.same_address_pairs(df.limit(0), entries, aliases).isEmpty()
 
     def test_a_misspelling_is_told_by_other_numbers(self, spark):
-        names = [(1, "s", "rio ene sur")] * 9 + [(3, "s", "rio")] * 4 + [(1, "s", "rio ane zur"), (2, "s", "rio ane zur"), (1, "e", "rio ane zur"), (1, "s", "lago i etapa")] + [(1, "s", "lago ii etapa")] * 9
+        names = [(1, "s", "rio ene sur")] * 9 + [(1, "s", "rio ane zur"), (2, "s", "rio ano sur"), (1, "e", "rio one sur"), (1, "s", "lago i etapa")] + [(1, "s", "lago ii etapa")] * 9
         got = {(r["locality"], r["kind"], r["name"]): (r["entry"], r["n"]) for r in addresses.gazetteer(spark.createDataFrame(names, "locality long, kind string, name string")).collect()}
         assert got[1, "s", "rio ane zur"] == got[1, "s", "rio ene sur"] == ("rio ene sur", 10)
-        assert got[2, "s", "rio ane zur"] == got[1, "e", "rio ane zur"] == ("rio ane zur", 1) and got[1, "s", "lago i etapa"] == ("lago i etapa", 1)
+        assert got[2, "s", "rio ano sur"] == ("rio ano sur", 1) and got[1, "e", "rio one sur"] == ("rio one sur", 1) and got[1, "s", "lago i etapa"] == ("lago i etapa", 1)
 
     def test_short_localities_aliases_and_long_names(self, spark):
         entries = spark.createDataFrame([(1, "Ate", "L"), (2, "Surco", "L"), (3, "Miraflores", "L")], "distrito_id int, nombre string, provincia string")
