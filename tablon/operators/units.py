@@ -337,8 +337,9 @@ def amounts_in_soles(listings: DataFrame, runs: DataFrame, quotes: DataFrame) ->
         foreign.select("serie_tc", "corrida_id").distinct()
         .join(runs.select("corrida_id", F.col("fecha").alias("__run_at")), "corrida_id")
     )
+    # Written first: inlined into the join's aggregates, the texts' patterns make more code than a method may have.
     rates = asof_backward(
-        moments, soles_per_unit(quotes), {"serie_tc": "series_codigos"}, ("__run_at", "fecha"),
+        moments, cut_lineage(soles_per_unit(quotes)), {"serie_tc": "series_codigos"}, ("__run_at", "fecha"),
         {"soles_arriba": "tasa_arriba", "soles_abajo": "tasa_abajo", "divisa": "divisa"}, tie="tc_id",
     )
     amount = (F.col("importe_arriba"), F.col("importe_abajo"))
