@@ -477,7 +477,7 @@ def q_dup_groups(s, d):
 @query()
 def q_dup_signal_groups(s, d):
     """Groups of parts by the full signal: like brands, and like names or matching prices and shared words."""
-    return duplicates.duplicate_groups(q_similarity(s, d))
+    return duplicates.similar_groups(table(s, d, "part"), "p_partkey", "p_brand", "p_name", "p_type", "p_retailprice")
 
 
 @query()

@@ -243,6 +243,61 @@ def test_groups_by_the_full_signal(spark, tmp_path):  # checks q_dup_signal_grou
     assert full == want and len(roots) > 5 and full != reduced
 
 
+def grouped(pairs):
+    """``(id, group, members)`` of linked ids, groups in order of their least id."""
+    root = {i: i for p in pairs for i in p}
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = {i: x if r == y else r for i, r in root.items()}
+    roots, sizes = sorted(set(root.values())), list(root.values())
+    return {(i, roots.index(r) + 1, sizes.count(r)) for i, r in root.items()}
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_groups_are_those_of_all_pairs(spark, seed):
+    """Texts that are alike in one order only, words that are repeated or shared by unlike titles, odd values, an id twice."""
+    draw = random.Random(seed)
+    names = ["Corredora ac caa", "corredora aaca cb", "Corredora abc ac", "corredora ca acc", "Corredora cab abb", "Corredora ac aaba"]
+    titles = ["casa", "casa casa", "casa patio amplio vista mar", "amplio amplio saca", "amplio ola patio saca", "casa ola sol topia", "casa ola ola ola", "sol mar", "mar sol rojo azul verde"]
+    values = [100.0, 95.0, 94.9, 105.3, 110.0, 120.0, 126.4, 0.0, -5.0, None, float("nan"), float("inf"), 1e-300]
+    drawn = lambda i: (i, draw.choice(names), draw.choice(titles), draw.choice("UVWXYZ"), draw.choice(values))
+    rows = [drawn(i) for i in draw.sample(range(1000), 70)]
+    rows += [(rows[0][0], "Corredora zz", "otra cosa", "U", None), (2000, "corredora zz", "cosa otra", "u", None), (2001, "", "casa", "U", 1.0), (2002, "Corredora zz", None, "U", 1.0), (2003, "Corredora zz", "cosa otra", None, 1.0)]
+    df = spark.createDataFrame([*rows, (None, "Corredora zz", "otra cosa", "U", None)], "id long, e string, t string, r string, v double")
+    got = [tuple(r) for r in duplicates.similar_groups(df, "id", "e", "t", "r", "v").collect()]
+    assert len(got) == len(set(got)) and set(got) == grouped({p for p in signal(rows) if p[0] < p[1]})
+    pairs = duplicates.similar_pairs(df, "id", "e", "t", "r", "v", python=False)
+    assert {tuple(r) for r in duplicates.similar_groups(df, "id", "e", "t", "r", "v", python=False).collect()} == grouped({tuple(r) for r in pairs.collect()})
+
+
+def test_values_that_match_in_one_order_of_rows_only(spark):
+    links = spark.createDataFrame([(1, 2, False), (3, 2, False), (2, 3, True), (1, 4, False), (1, 5, False), (6, 7, False), (8, 9, False)], "c1 long, c2 long, free boolean")
+    # Rows 9 and 20 match 8 and 19 but come after them; 94 and 95 don't match 100.5, but row 30 matches row 33.
+    values = [(9, 1, 95.0), (1, 1, 80.0), (8, 2, 100.0), (2, 2, 130.0), (10, 3, 104.0), (12, 4, float("inf")), (0, 5, float("inf")), (20, 6, 95.0), (21, 6, 94.0), (19, 7, 100.0), (22, 7, 100.5), (30, 8, 95.0), (31, 8, 94.0), (29, 9, 100.0), (33, 9, 99.2)]
+    got = duplicates._matching_values(links, spark.createDataFrame(values, "id long, c long, v double"), 0.05)
+    assert sorted(map(tuple, got.collect())) == [(1, 4), (2, 3), (8, 9)]
+
+
+def linked_rows(monkeypatch, groups):
+    """How many links were made for the groups, and these."""
+    made, close = [0], duplicates.closure
+
+    def counted(pairs, a, b):
+        made[0] += pairs.count()
+        return close(pairs, a, b)
+
+    monkeypatch.setattr(duplicates, "closure", counted)
+    return [tuple(r) for r in groups().collect()], made[0]
+
+
+def test_copies_make_no_pairs_for_the_full_signal(spark, tmp_path, monkeypatch):
+    from tablon.plans.reference_queries import QUERIES
+
+    spark.range(3000).selectExpr("id p_partkey", "concat('Brand#1', id % 2) p_brand", "'large ring' p_name", "'T' p_type", "100.0D p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got, made = linked_rows(monkeypatch, lambda: QUERIES["q_dup_signal_groups"](spark, str(tmp_path)))
+    assert sorted(got) == [(i, 1, 3000) for i in range(3000)] and made <= 3000
+
+
 def test_q_similarity_rates_all_parts(spark, tmp_path):  # checks q_similarity
     from tablon.plans.reference_queries import QUERIES
 
