@@ -470,8 +470,7 @@ c AS (SELECT a AS id, least(a, min(b)) AS raiz FROM r GROUP BY a)
 SELECT id, dense_rank() OVER (ORDER BY raiz) AS dup_grupo, count(*) OVER (PARTITION BY raiz) AS miembros FROM c""")
 def q_dup_groups(s, d):
     """Parts of one brand and type whose names share words and whose prices match."""
-    pairs = duplicates.similar_pairs(table(s, d, "part"), "p_partkey", "p_brand", "p_name", "p_type", "p_retailprice", python=False)
-    return duplicates.duplicate_groups(pairs)
+    return duplicates.similar_groups(table(s, d, "part"), "p_partkey", "p_brand", "p_name", "p_type", "p_retailprice", python=False)
 
 
 @query()

@@ -298,6 +298,18 @@ def test_copies_make_no_pairs_for_the_full_signal(spark, tmp_path, monkeypatch):
     assert sorted(got) == [(i, 1, 3000) for i in range(3000)] and made <= 3000
 
 
+def test_copies_make_no_pairs_for_equal_brands(spark, tmp_path, monkeypatch):
+    from tablon.plans.reference_queries import QUERIES
+
+    # Copies of one name, and of one that shares its words and some prices; another brand.
+    name = "case id % 3 when 0 then 'large ring' when 1 then 'large large ring' else 'red bolt' end"
+    spark.range(3000).selectExpr("id p_partkey", "if(id < 2990, 'Brand#1', 'Brand#2') p_brand", f"{name} p_name", "'T' p_type", "if(id % 2 = 0, 100.0D, 500.0D) p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got, made = linked_rows(monkeypatch, lambda: QUERIES["q_dup_groups"](spark, str(tmp_path)))
+    of = lambda brand, names: [i for i in range(3000) if (i < 2990) == (brand == 1) and (i % 3 < 2) == names]
+    groups = sorted([of(1, True), of(1, False), of(2, True), of(2, False)])
+    assert sorted(got) == sorted((i, n, len(g)) for n, g in enumerate(groups, 1) for i in g) and made <= 3000
+
+
 def test_q_similarity_rates_all_parts(spark, tmp_path):  # checks q_similarity
     from tablon.plans.reference_queries import QUERIES
 
